@@ -19,7 +19,7 @@ from .common import texts
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Pieces kept encoded by a worker; when full, the memory starts anew. Results do not depend on it.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 1_000_000
 NONE = 1 << 62
 
 

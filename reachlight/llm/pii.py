@@ -30,11 +30,17 @@ def tied(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def turn(k: int, m_left: Column, m_right: Column, key: str, tag: Column):
+    if k % 2:
+        return lambda p: F.struct(p["a"].alias("a"), F.pmod(p["b"] + mix(key, tag, k, p["a"]), m_right).alias("b"))
+    return lambda p: F.struct(F.pmod(p["a"] + mix(key, tag, k, p["b"]), m_left).alias("a"), p["b"].alias("b"))
+
+
 def feistel(left: Column, right: Column, m_left: Column, m_right: Column, key: str, tag: Column) -> Column:
     """struct(a, b): a permutation of pairs below m_left and m_right by alternating additions."""
     x = F.struct(left.alias("a"), right.alias("b"))
     for k in range(ROUNDS):
-        x = tied(x, lambda p, k=k: F.struct(p["a"].alias("a"), F.pmod(p["b"] + mix(key, tag, k, p["a"]), m_right).alias("b")) if k % 2 else F.struct(F.pmod(p["a"] + mix(key, tag, k, p["b"]), m_left).alias("a"), p["b"].alias("b")))
+        x = tied(x, turn(k, m_left, m_right, key, tag))
     return x
 
 

@@ -86,7 +86,7 @@ def top_k(emb: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
 
 
 SQL = """
-with v as (select vec_id, row_number() over () as r, list_transform(embedding, x -> floor(256 * x::double)) as e from embeddings
-  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+with v as (select vec_id, row_number() over () as r, [floor(256 * x::double) for x in embedding] as e from embeddings
+  where embedding is not null and len(embedding) > 0 and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
 s as (select q.vec_id as query_id, q.r, v.vec_id, list_inner_product(q.e, v.e)::bigint as score from v q join v on q.r <> v.r where q.vec_id % 50 = 0)
 select query_id, rank, vec_id, score from (select query_id, vec_id, score, row_number() over (partition by query_id, r order by score desc, vec_id)::int as rank from s) where rank <= 5"""

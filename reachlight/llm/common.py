@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, functions as F
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone (null text: empty), so that clashing extra columns do no harm."""
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
@@ -22,3 +26,21 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
     return df.checkpoint()
+
+
+def ship(spark) -> None:
+    """Sends this package to the workers once per application, so that they need no path of the driver's."""
+    global _sent
+    sc = spark.sparkContext
+    if _sent == sc.applicationId:
+        return
+    top = Path(__file__).resolve().parents[1]
+    out = Path(tempfile.mkdtemp(prefix="package")) / f"{top.name}.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    sc.addPyFile(str(out))
+    _sent = sc.applicationId
+
+
+_sent = None

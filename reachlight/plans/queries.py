@@ -194,10 +194,10 @@ def page_extract(spark, d):
     return t(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).cast("long").alias("links"), F.coalesce(F.regexp_extract("url", "[?&]page=([0-9]+)", 1).try_cast("int"), F.lit(1)).alias("page"))
 
 
-@query("with o as (select o_custkey, max(o_orderkey) as v from orders where o_orderkey % 2 = 0 group by 1), n as (select o_custkey, max(o_orderkey) as v from orders where o_orderkey % 3 = 0 group by 1) select coalesce(o.o_custkey, n.o_custkey) as o_custkey, o.v as old_value, n.v as new_value, case when o.v is null then 'new' when n.v is null then 'delisted' when o.v <> n.v then 'updated' else 'same' end as state from o full join n on o.o_custkey = n.o_custkey")
+@query("with o as (select o_custkey, max(o_orderkey) as v from orders where o_orderkey % 2 = 0 group by 1), n as (select o_custkey, max(o_orderkey) as v from orders where o_orderkey % 3 = 0 group by 1) select coalesce(o.o_custkey, n.o_custkey) as o_custkey, coalesce(o.v, 0) as old_value, coalesce(n.v, 0) as new_value, case when o.v is null then 'new' when n.v is null then 'delisted' when o.v <> n.v then 'updated' else 'same' end as state from o full join n on o.o_custkey = n.o_custkey")
 def listing_upsert(spark, d):
     f = lambda k: t(spark, d, "orders").where(f"o_orderkey % {k} = 0").groupBy("o_custkey").agg(F.max("o_orderkey").alias("v"))
-    return T.snapshot_delta(f(2), f(3), "o_custkey", "v")
+    return T.snapshot_delta(f(2), f(3), "o_custkey", "v").fillna(0, ["old_value", "new_value"])
 
 
 @query("select * from (select o_custkey, o_orderkey, o_orderpriority, lag(o_orderpriority) over (partition by o_custkey order by o_orderdate, o_orderkey) as previous from orders) where previous <> o_orderpriority")

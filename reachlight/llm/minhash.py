@@ -22,7 +22,7 @@ HASHES = ROWS * BANDS
 #: The estimate may fall short of the threshold by this much (over five standard errors) before a candidate goes.
 MARGIN = 0.2
 _rng = np.random.default_rng(7)
-MULTS, ADDS = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1), _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+MULTS, MASKS = _rng.integers(1, 1 << 32, (HASHES, 1), dtype=np.uint32) | np.uint32(1), _rng.integers(0, 1 << 32, (HASHES, 1), dtype=np.uint32)
 U = np.uint64
 
 
@@ -50,10 +50,13 @@ def shingles(text: str, k: int, memo: Words) -> np.ndarray:
 
 def signature(s: np.ndarray) -> tuple[list[int], list[int]]:
     """Band keys, and the low bits of the minima packed by bit plane."""
-    low = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+    low = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
+    short = (s >> U(32)).astype(np.uint32)[None, :]
     for i in range(0, len(s), 512):
-        x = s[None, i : i + 512] * MULTS[:, None] + ADDS[:, None]
-        low = np.minimum(low, (x >> U(20)).min(1))
+        x = short[:, i : i + 512] ^ MASKS
+        x *= MULTS
+        np.minimum(low, x.min(1), out=low)
+    low = low.astype(np.uint64)
     key = np.arange(BANDS, dtype=np.uint64) + U(1)
     for r in range(ROWS):
         key = (key ^ low[r::ROWS]) * U(0xD6E8FEB86659FD93)

@@ -28,9 +28,10 @@ class PairTree:
 
     def __init__(self, keys: list[int]):
         self.size = 1 << max(0, (len(keys) - 1).bit_length())
-        self.node = [NONE] * self.size + keys + [NONE] * (self.size - len(keys))
+        self.node = node = [NONE] * self.size + keys + [NONE] * (self.size - len(keys))
         for i in range(self.size - 1, 0, -1):
-            self.node[i] = min(self.node[2 * i], self.node[2 * i + 1])
+            a, b = node[2 * i], node[2 * i + 1]
+            node[i] = a if a < b else b
 
     def root(self) -> int:
         return self.node[1]
@@ -39,8 +40,10 @@ class PairTree:
         node, i = self.node, i + self.size
         node[i] = key
         while i > 1:
+            least, other = node[i], node[i ^ 1]
+            if other < least:
+                least = other
             i >>= 1
-            least = min(node[2 * i], node[2 * i + 1])
             if node[i] == least:
                 return
             node[i] = least

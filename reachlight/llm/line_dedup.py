@@ -79,7 +79,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def deletions(docs: DataFrame) -> DataFrame:
-    """doc_id, gone: the positions of the pieces that each later document loses."""
+    """_id, _gone: the positions of the pieces that each later document loses."""
     occ = occurrences(docs)
     firsts = occ.groupBy("line").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("line", F.col("first.doc_id").alias("anchor"), F.col("first.pos").alias("other"))
     # Both sides salted: a line in a third of all documents is spread over SALTS tasks.
@@ -98,10 +98,10 @@ def deletions(docs: DataFrame) -> DataFrame:
                 if gone:
                     ids.append(i)
                     out.append(sorted(gone))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["_id", "gone"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["_id", "_gone"])
 
     # A document's rows are no more than its lines.
-    return pairs.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "pos", "other", "words")).alias("rows")).mapInArrow(align, "_id long, gone array<int>")
+    return pairs.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "pos", "other", "words")).alias("rows")).mapInArrow(align, "_id long, _gone array<int>")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -120,8 +120,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     cut = F.pandas_udf(run, "string")
     joined = docs.join(gone, docs["doc_id"] == gone["_id"], "left")
-    done = joined.withColumn("text", F.when(F.col("gone").isNull(), docs["text"]).otherwise(cut(docs["text"], F.col("gone"))))
-    done = done.where(F.col("gone").isNull() | (F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0))
+    done = joined.withColumn("text", F.when(F.col("_gone").isNull(), docs["text"]).otherwise(cut(docs["text"], F.col("_gone"))))
+    done = done.where(F.col("_gone").isNull() | (F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0))
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("gone").isNull(), docs["n_chars"]).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        done = done.withColumn("n_chars", F.when(F.col("_gone").isNull(), docs["n_chars"]).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return done.select(*docs.columns)

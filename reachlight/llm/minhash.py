@@ -101,7 +101,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, planes: DataFrame, k: int, num:
     near = pairs.join(pa_, "a").join(pb, "b").where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)").where(f"{similar('xa', 'xb')} >= {least}").select("a", "b")
     near = cut(near)
     used = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-    rows = sets(docs.join(used, F.col("doc_id") == F.col("id"), "left_semi"), k, True).dropDuplicates(["doc_id"])
+    rows = sets(texts(docs).join(used, F.col("doc_id") == F.col("id"), "left_semi"), k, True).dropDuplicates(["doc_id"])
     both = near.join(rows.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(rows.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     return both.withColumn("i", F.size(F.array_intersect("sa", "sb"))).where(f"{den} * i >= {num} * (size(sa) + size(sb) - i)").select("a", "b")
 

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-SHARD, BLOCK = 4096, 512
+SHARD, BLOCK, FIRST = 4096, 512, 256
 
 
 def maxscore(q: np.ndarray, X: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, floor: float) -> np.ndarray:
@@ -44,7 +44,10 @@ def shard_top(Q: np.ndarray, qid: np.ndarray, qrow: np.ndarray, X: np.ndarray, x
     out = []
     low, high = X.min(0), X.max(0)
     for q, i, w in zip(Q, qid, qrow):
-        at = maxscore(q, X, low, high, k + 1, -np.inf)
+        # The first rows give the threshold that splits the terms for the rest of the shard.
+        seen = X[:FIRST] @ q
+        floor = float(np.partition(seen, -k - 1)[-k - 1]) if len(seen) > k else -np.inf
+        at = maxscore(q, X, low, high, k + 1, floor)
         score = X[at] @ q
         own = xrow[at] != w
         at, score = at[own], score[own]

@@ -23,10 +23,16 @@ LEAST_CHARS = 24
 INDEX_BYTES = 16_000_000
 MULT = np.uint64(0x9E3779B97F4A7C15)
 squeeze = re.compile(r"[\W_]+").sub
+#: The same rule by byte, for texts within Latin-1.
+LATIN = bytes(32 if squeeze("", chr(b)) == "" else b for b in range(256))
 
 
 def normal(text: str | None) -> str:
-    return squeeze(" ", (text or "").lower()).strip()
+    low = (text or "").lower()
+    try:
+        return b" ".join(low.encode("latin-1").translate(LATIN).split()).decode("latin-1")
+    except UnicodeEncodeError:
+        return squeeze(" ", low).strip()
 
 
 def grams(text: str) -> np.ndarray:
@@ -40,42 +46,88 @@ def grams(text: str) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+class Postings:
+    """q-gram hash -> (item, position)."""
+
+    def __init__(self, h: np.ndarray, item: np.ndarray, pos: np.ndarray):
+        order = np.argsort(h, kind="stable")
+        self.item, self.pos = item[order], pos[order]
+        self.keys, self.first, self.many = np.unique(h[order], return_index=True, return_counts=True)
+        # First key of each leading 22 bits, or -1; keys are sorted, so the others of a cell follow it.
+        cell, first, run = np.unique((self.keys >> np.uint64(42)).astype(np.int64), return_index=True, return_counts=True)
+        self.cell = np.full(1 << 22, -1, np.int32)
+        self.cell[cell] = first
+        self.steps = int(run.max(initial=1)) - 1
+
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the text, and entries of the postings."""
+        k = self.cell[(h >> np.uint64(42)).astype(np.int64)]
+        at = np.flatnonzero(k >= 0)
+        k, h = k[at], h[at]
+        for _ in range(self.steps):
+            k = np.minimum(k + (self.keys[k] < h), len(self.keys) - 1)
+        ok = self.keys[k] == h
+        at, k = at[ok], k[ok]
+        many = self.many[k]
+        return np.repeat(at, many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.first[k], many)
+
+
 class Index:
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [(i, s) for i, s in ((i, normal(t)) for i, t in items) if len(s) >= LEAST_CHARS]
         self.edits = np.array([min(int(BUDGET * len(s)), (len(s) - Q) // Q) for _, s in self.items], np.int64)
+        self.bound = np.array([len(s) - Q + 1 - Q * e for (_, s), e in zip(self.items, self.edits.tolist())], np.int64)
+        self.longest = max((len(s) for _, s in self.items), default=0)
         parts = [grams(s) for _, s in self.items]
         h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         item = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         pos = np.concatenate([np.arange(len(p)) for p in parts]) if parts else np.zeros(0, int)
-        order = np.argsort(h, kind="stable")
-        self.item, self.pos = item[order], pos[order]
-        self.keys, self.first, self.many = np.unique(h[order], return_index=True, return_counts=True)
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[(self.keys >> np.uint64(42)).astype(np.int64)] = True
+        self.full = Postings(h, item, pos)
+        # An item's most common q-grams, fewer than the bound, wait for the second count; the bound falls by their number.
+        _, same, often = np.unique(h, return_inverse=True, return_counts=True)
+        order = np.lexsort((-often[same], item))
+        start = np.cumsum([0, *(len(p) for p in parts)])[:-1]
+        late = np.zeros(len(h), bool)
+        late[order] = np.arange(len(h)) - start[item[order]] < (self.bound // 2)[item[order]]
+        self.rare, self.rare_bound = Postings(h[~late], item[~late], pos[~late]), self.bound - self.bound // 2
+
+    def bands(self, h: np.ndarray, table: Postings, bound: np.ndarray, only: np.ndarray | None = None):
+        """(items, bands) whose hits meet the bound, and all hits (item, place, position, band). A band takes in the hits of its upper neighbour, so that bands overlap."""
+        place, flat = table.hits(h)
+        item = table.item[flat]
+        enough = np.bincount(item, minlength=len(self.items)) >= bound
+        enough = (enough if only is None else enough & only)[item]
+        if not enough.any():
+            none = np.zeros(0, np.int64)
+            return none, none, (none, none, none, none)
+        item, place, pos = item[enough], place[enough], table.pos[flat[enough]]
+        band = np.floor_divide(place - pos, 2 * self.edits[item] + 1)
+        wide = len(h) + Q + self.longest + 2
+        cell, hits = np.unique(item * wide + band + self.longest + 1, return_counts=True)
+        upper, lone = np.zeros(len(cell), np.int64), np.ones(len(cell), bool)
+        upper[:-1], lone[1:] = np.where(cell[1:] == cell[:-1] + 1, hits[1:], 0), cell[1:] != cell[:-1] + 1
+        cell, hits = np.concatenate([cell, cell[lone] - 1]), np.concatenate([hits + upper, hits[lone]])
+        good = np.sort(cell[hits >= bound[cell // wide]])
+        return good // wide, good % wide - self.longest - 1, (item, place, pos, band)
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item_id, start, end, edits), offsets in the normal form of the text; the best region of each item."""
         text, best = normal(text), {}
         h = grams(text)
-        if not len(h) or not len(self.keys):
+        if not len(h) or not self.items:
             return []
-        at = np.flatnonzero(self.seen[(h >> np.uint64(42)).astype(np.int64)])
-        k = np.searchsorted(self.keys, h[at])
-        k[k == len(self.keys)] = 0
-        ok = self.keys[k] == h[at]
-        at, k = at[ok], k[ok]
-        if not len(at):
+        some, _, _ = self.bands(h, self.rare, self.rare_bound)
+        if not len(some):
             return []
-        many = self.many[k]
-        flat = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.first[k], many)
-        item, diag = self.item[flat], np.repeat(at, many) - self.pos[flat]
-        band = np.floor_divide(diag, 2 * self.edits[item] + 1)
-        pairs, hits = np.unique(np.concatenate([np.stack([item, band]), np.stack([item, band - 1])], 1), axis=1, return_counts=True)
-        for (i, b), n in zip(pairs.T.tolist(), hits.tolist()):
-            s, e = self.items[i][1], int(self.edits[i])
-            if n < len(s) - Q + 1 - Q * e:
+        only = np.zeros(len(self.items), bool)
+        only[some] = True
+        some, bands, (item, place, pos, band) = self.bands(h, self.full, self.bound, only)
+        for i, b in zip(some.tolist(), bands.tolist()):
+            # Each q-gram of the item, and each place of the text, counts once.
+            own = (item == i) & ((band == b) | (band == b + 1))
+            if min(len(np.unique(pos[own])), len(np.unique(place[own]))) < self.bound[i]:
                 continue
+            s, e = self.items[i][1], int(self.edits[i])
             w = 2 * e + 1
             low, high = max(0, b * w - e), min(len(text), (b + 2) * w + len(s) + e)
             got = align(s, text[low:high], e)

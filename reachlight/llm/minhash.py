@@ -2,9 +2,9 @@
 
 A document's set holds its distinct word shingles; texts with fewer words have their whole sequence as one shingle,
 texts without words an empty set that links with nothing. Documents with equal sets are one class, found by the set's
-hash. Classes meet in buckets of band keys; each compares itself with its bucket's first and last member, and classes
-that are then still in different components are compared within their bucket, so that no link between components is
-lost and no group emits all its pairs. Candidates pass the packed b-bit estimate (bit counts, corrected for chance
+hash. Classes meet in buckets of band keys; each compares itself with its bucket's first and last member, then with a
+few hashed centres of other components, and classes that are then still in different components are compared within
+their bucket, so that no link between components is lost. Candidates pass the packed b-bit estimate (bit counts, corrected for chance
 collisions) before links are confirmed on full sets. Null text counts as empty; repeated rows give repeated rows.
 """
 
@@ -21,6 +21,8 @@ ROWS, BANDS, BITS = 4, 24, 4
 HASHES = ROWS * BANDS
 #: The estimate may fall short of the threshold by this much (over five standard errors) before a candidate goes.
 MARGIN = 0.2
+#: Centres of a bucket with several components.
+CENTRES = 4
 _rng = np.random.default_rng(7)
 MULTS, MASKS = _rng.integers(1, 1 << 32, (HASHES, 1), dtype=np.uint32) | np.uint32(1), _rng.integers(0, 1 << 32, (HASHES, 1), dtype=np.uint32)
 U = np.uint64
@@ -125,6 +127,13 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "id")
 
 
+def mixed(slots: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, rep, root of the buckets that hold several components."""
+    rows = slots.select("key", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    keys = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+    return rows.join(keys, "key", "left_semi")
+
+
 def near_components(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; a link needs den * intersection >= num * union."""
     sig = cut(sets(docs, k, False))
@@ -137,11 +146,17 @@ def near_components(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100)
     star = slots.select(F.col("lo").alias("a"), F.col("rep").alias("b")).union(slots.select(F.col("rep").alias("a"), F.col("hi").alias("b"))).where("a < b").distinct()
     links = cut(confirmed(docs, star, planes, k, num, den))
     roots = components(links)
-    # Buckets that still hold several components: compare across components only.
-    open_ = slots.select("key", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed = open_.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    rest = open_.join(mixed, "key", "left_semi").join(planes.select("rep", "n", "planes"), "rep")
-    rest = cut(rest)
+    # Buckets that still hold several components: first a few hashed centres each, against rows of other components.
+    open_ = cut(mixed(slots, roots))
+    centres = open_.groupBy("key").agg(F.array_distinct(F.array(*(F.min_by(F.struct("rep", "root"), F.xxhash64("rep", F.lit(c))) for c in range(CENTRES)))).alias("centres"))
+    more = open_.join(centres, "key").select("rep", F.explode(F.expr("transform(filter(centres, c -> c.root <> root), c -> c.rep)")).alias("c"))
+    more = more.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
+    extra = cut(confirmed(docs, more, planes, k, num, den))
+    if not extra.isEmpty():
+        links = links.union(extra)
+        roots = components(links)
+    # What is left is compared across components only.
+    rest = cut(mixed(open_, roots).join(planes.select("rep", "n", "planes"), "rep"))
     l, r = (rest.select("key", F.col("rep").alias(s), F.col("root").alias("r" + s), F.col("n").alias("n" + s), F.col("planes").alias("x" + s)) for s in "ab")
     least = num / den - MARGIN
     more = l.join(r, "key").where(f"a < b and ra <> rb and {den} * least(na, nb) >= {num} * greatest(na, nb) and {similar('xa', 'xb')} >= {least}").select("a", "b").distinct()

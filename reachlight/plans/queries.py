@@ -108,13 +108,13 @@ BOTH = "b2 as (select u, v, length from e union all select v, u, length from e)"
 SSSP = f"with recursive {EDGES}, {BOTH}, w(source, node, dist) as (select n, n, 0::bigint from (values (1::bigint), (5), (9)) x(n) union select w.source, b2.v, w.dist + b2.length from w join b2 on w.node = b2.u where w.dist + b2.length <= 40), dd as (select source, node, min(dist) as dist from w group by all)"
 
 
-def edges(spark, d):
-    li = t(spark, d, "lineitem").selectExpr("l_suppkey as a", "l_partkey % 90 + 1 as b", "l_linenumber * 10 + l_orderkey % 7 as l", "l_orderkey").where("a <> b and l_orderkey % 40 = 0")
+def edges(spark, d, orders="l_orderkey % 40 = 0"):
+    li = t(spark, d, "lineitem").selectExpr("l_suppkey as a", "l_partkey % 90 + 1 as b", "l_linenumber * 10 + l_orderkey % 7 as l", "l_orderkey").where(f"a <> b and {orders}")
     return li.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.min("l").alias("length"))
 
 
-def distances(spark, d):
-    e = edges(spark, d)
+def distances(spark, d, orders="l_orderkey % 40 = 0"):
+    e = edges(spark, d, orders)
     e = R.cut(e.unionByName(e.selectExpr("v as u", "u as v", "length")))
     return R.bounded_sssp(e, spark.createDataFrame([(1,), (5,), (9,)], "source long"), 40)
 
@@ -134,6 +134,26 @@ def edge_marking(spark, d):
     return R.band_edges(edges(spark, d), distances(spark, d), [15, 30, 40])
 
 
+# The three queries above keep every 40th order, as their SQL does; these take all orders.
+WHOLE = EDGES.replace(" and l_orderkey % 40 = 0", "")
+WHOLE_SSSP = SSSP.replace(EDGES, WHOLE).replace("0::bigint from (values (1::bigint), (5), (9)) x(n) union all", "0::bigint from (values (1::bigint), (5), (9)) x(n) union")
+
+
+@query(f"with {WHOLE} select * from e")
+def undirected_edges_whole(spark, d):
+    return edges(spark, d, "true")
+
+
+@query(f"{WHOLE_SSSP} select * from dd")
+def bounded_sssp_whole(spark, d):
+    return distances(spark, d, "true")
+
+
+@query(f"{WHOLE_SSSP} select distinct band::int as band, e.u, e.v from e join dd i on i.node = e.u join dd j on j.node = e.v and j.source = i.source, (values (15), (30), (40)) x(band) where greatest(i.dist, j.dist) <= band")
+def edge_marking_whole(spark, d):
+    return R.band_edges(edges(spark, d, "true"), distances(spark, d, "true"), [15, 30, 40])
+
+
 @query(f"with {TIMES}, m as (select * from st where trip_id not in (select o_orderkey from orders where o_orderstatus = 'F')) select trip_id, 'synth_' || trip_id as synth_id, count(*) as n, min(t) as first_t, max(t) as last_t from m group by trip_id having count(*) >= 2")
 def missing_lines_synthesis(spark, d):
     m = stop_times(spark, d).join(t(spark, d, "orders").where("o_orderstatus = 'F'").selectExpr("o_orderkey as trip_id"), "trip_id", "left_anti")

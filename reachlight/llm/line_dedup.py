@@ -1,11 +1,13 @@
 """Line dedup by pairwise alignment.
 
-Lines (split further at sentence ends) of at least MIN_UNIT words that stand in several documents are shared rare
-lines; the document with the smallest id that holds such a line is its anchor. Documents are paired with the anchors
-of their lines, so pairs grow with the shared lines, not with the square of their groups. Each pair is aligned by
-patience diff (the longest increasing run over the shared lines), and aligned common blocks of at least MIN_BLOCK
-words go from the later document. Null text and texts without such lines stay as they are; of rows with one doc_id
-the texts are treated as one document's; ties go to the smaller position. Documents that lose every word are dropped.
+Lines (split further at sentence ends) with a letter or digit are units. Units that stand in several documents are
+shared; a run is the shortest stretch of successive shared units, at most GAP units apart, that reaches MIN_BLOCK
+words. The document with the smallest id that holds a run is its anchor: the later document loses the run, and each
+pair that shares a run, or MIN_BLOCK words of units first seen in one document, is aligned by patience diff over all
+units the two share. So pairs grow with the shared runs, not with the square of their groups. Aligned common blocks of
+at least MIN_BLOCK words go from the later document. In scripts without spaces two characters count as a word. Null
+text and texts without such units stay as they are; of rows with one doc_id the texts are treated as one document's;
+ties go to the smaller position. Documents that lose every word are dropped.
 """
 
 from __future__ import annotations
@@ -13,21 +15,31 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-MIN_UNIT, MIN_BLOCK, SALTS = 3, 30, 16
-units = re.compile(r"[^\n]*?[.!?](?=\s)[ \t]*|[^\n]+|\n").findall
+from .common import cut as stored
+
+#: GAP: units between two of one block that may differ, plus 1. HEAVY: a key with more rows is dealt over SALTS tasks.
+MIN_BLOCK, GAP, SALTS, HEAVY = 30, 3, 64, 500
+units = re.compile(r"[^\n]*?(?:[.!?](?=\s)|[。！？])[ \t]*|[^\n]+|\n").findall
+content = re.compile(r"[^\W_]").search
+dense = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]").findall
 
 
 def pieces(text: str) -> list[tuple[str, int, int]]:
-    """(piece, hash, words); the pieces join to the text; hash 0: too short to align."""
+    """(piece, hash, words); the pieces join to the text; hash 0: no letter or digit."""
     out = []
     for u in units(text):
-        w = u.split()
-        out.append((u, xxhash.xxh64_intdigest(" ".join(w).lower()) - (1 << 63) if len(w) >= MIN_UNIT else 0, len(w)))
+        if content(u):
+            w = u.split()
+            n = len(w) if u.isascii() else max(len(w), len(dense(u)) // 2)
+            out.append((u, xxhash.xxh64_intdigest(" ".join(w).lower()) - (1 << 63) or 1, n))
+        else:
+            out.append((u, 0, 0))
     return out
 
 
@@ -45,63 +57,158 @@ def patience(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def blocks(own, other, words) -> list[int]:
-    """Positions to delete: aligned lines in blocks of MIN_BLOCK words. Lines unique on both sides are aligned; a gap of up to two positions (line ends) keeps a block whole."""
-    size, rows = dict(zip(own, words)), sorted(zip(own, other))
+def blocks(own: dict, other: dict) -> list[int]:
+    """Places to delete: aligned units in blocks of MIN_BLOCK words. own: place -> (line, words), other: place -> line.
+
+    The first places of common lines are aligned, then equal neighbours of aligned units, so repeated lines go too.
+    """
+    first, mine = {}, {}
+    for b, x in sorted(other.items(), reverse=True):
+        first[x] = b
+    for a, (x, _) in sorted(own.items(), reverse=True):
+        if x in first:
+            mine[x] = a
+    if sum(n for x, n in own.values() if x in first) < MIN_BLOCK:
+        return []
+    fixed, run, low = patience(sorted((a, first[x]) for x, a in mine.items())), [], (-1, -1)
+    for k, (a, b) in enumerate(fixed):
+        back, (p, q) = [], (a - 1, b - 1)
+        while p > low[0] and q > low[1] and p in own and own[p][0] == other.get(q):
+            back.append((p, q))
+            p, q = p - 1, q - 1
+        run += [*back[::-1], (a, b)]
+        end, (p, q) = fixed[k + 1] if k + 1 < len(fixed) else (1 << 60, 1 << 60), (a + 1, b + 1)
+        while p < end[0] and q < end[1] and p in own and own[p][0] == other.get(q):
+            run.append((p, q))
+            p, q = p + 1, q + 1
+        low = run[-1]
     gone, block = [], []
-    for a, b in [*patience(rows), (1 << 60, 1 << 60)]:
-        if block and not (0 < a - block[-1][0] <= 3 and 0 < b - block[-1][1] <= 3):
-            if sum(size[x] for x, _ in block) >= MIN_BLOCK:
+    for a, b in [*run, (1 << 60, 1 << 60)]:
+        if block and not (0 < a - block[-1][0] <= GAP and 0 < b - block[-1][1] <= GAP):
+            if sum(own[x][1] for x, _ in block) >= MIN_BLOCK:
                 gone += [x for x, _ in block]
-                # Pieces too short to align go too where both sides hold equally many between aligned lines.
-                gone += [x for (p, q), (r, t) in zip(block, block[1:]) if r - p == t - q for x in range(p + 1, r)]
             block = []
         block.append((a, b))
     return gone
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, line, pos, words of a document's aligned lines, each line once (its first place)."""
+    """doc_id, line, pos, words of a document's units; pos counts units."""
 
     def run(batches):
         for batch in batches:
             cols = [[], [], [], []]
             for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                seen = set()
-                for k, (_, h, n) in enumerate(pieces(t)):
-                    if h and h not in seen:
-                        seen.add(h)
-                        for c, x in zip(cols, (i, h, k, n)):
-                            c.append(x)
+                for k, (h, n) in enumerate((h, n) for _, h, n in pieces(t) if h):
+                    for c, x in zip(cols, (i, h, k, n)):
+                        c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "line", "pos", "words"])
 
     return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, line long, pos int, words int")
 
 
+def anchored(rows: DataFrame, key: str) -> DataFrame:
+    """Rows whose key stands in several documents, with the smallest doc_id that holds it. Rows of common keys are dealt over SALTS tasks on both sides."""
+    firsts = rows.groupBy(key).agg(F.min("doc_id").alias("anchor"), F.max("doc_id").alias("b"), F.count("*").alias("n")).where("anchor < b")
+    firsts = stored(firsts.select(key, "anchor", "n"))
+    salted = F.when(F.col("n") > HEAVY, SALTS).otherwise(1)
+    heavy = firsts.where(F.col("n") > HEAVY).select(key, F.lit(True).alias("heavy"))
+    salt = F.when(F.col("heavy"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("int")
+    firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), salted - 1))).drop("n")
+    # Keys with more than HEAVY rows are few: at most one in HEAVY rows.
+    return rows.join(F.broadcast(heavy), key, "left").withColumn("salt", salt).drop("heavy").join(firsts, [key, "salt"]).drop("salt")
+
+
+def lists(batch, name: str):
+    """The arrays of one list<struct> column, row by row, as numpy arrays by field."""
+    col = batch.column(name)
+    ends, inner = col.offsets.to_numpy(), col.values
+    fields = {f.name: inner.field(k).to_numpy(zero_copy_only=False) for k, f in enumerate(inner.type)}
+    for a, b in zip(ends[:-1], ends[1:]):
+        yield {f: x[a:b] for f, x in fields.items()}
+
+
+def runs(batches):
+    """doc_id, run, pos, last: the shortest runs of shared units from and up to each place; run 0: partners by single units (pos: partner)."""
+    for batch in batches:
+        cols = [[], [], [], []]
+        for i, x in zip(batch.column("doc_id").to_pylist(), lists(batch, "rows")):
+            order = np.argsort(x["pos"], kind="stable")
+            line, pos, words = x["line"][order], x["pos"][order], x["words"][order]
+            top, near = np.concatenate([[0], np.cumsum(words)]), np.concatenate([np.diff(pos) <= GAP, [False]])
+            broken = np.flatnonzero(~near)
+            stop = broken[np.searchsorted(broken, np.arange(len(pos)))]
+            place = np.arange(len(pos))
+            last, start = np.searchsorted(top, top[:-1] + MIN_BLOCK) - 1, np.searchsorted(top, top[1:] - MIN_BLOCK, "right") - 1
+            ahead, behind = last <= stop, start >= 0
+            behind[behind] = stop[start[behind]] >= place[behind]
+            for a, b in {*zip(place[ahead].tolist(), last[ahead].tolist()), *zip(start[behind].tolist(), place[behind].tolist())}:
+                for c, v in zip(cols, (i, xxhash.xxh64_intdigest(line[a : b + 1].tobytes()) - (1 << 63) or 1, a, b)):
+                    c.append(v)
+            who, which = np.unique(x["anchor"], return_inverse=True)
+            for a in who[(np.bincount(which, x["words"]) >= MIN_BLOCK) & (who < i)].tolist():
+                for c, v in zip(cols, (i, 0, a, 0)):
+                    c.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "run", "pos", "last"])
+
+
+def align(batches):
+    """_id, _part: units that go by one pair."""
+    for batch in batches:
+        ids, out = [], []
+        for i, x, y in zip(batch.column("doc_id").to_pylist(), lists(batch, "rows"), lists(batch, "others")):
+            own = dict(zip(x["pos"].tolist(), zip(x["line"].tolist(), x["words"].tolist())))
+            if gone := blocks(own, dict(zip(y["pos"].tolist(), y["line"].tolist()))):
+                ids.append(i)
+                out.append(gone)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["_id", "_part"])
+
+
 def deletions(docs: DataFrame) -> DataFrame:
-    """_id, _gone: the positions of the pieces that each later document loses."""
-    occ = occurrences(docs)
-    firsts = occ.groupBy("line").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("line", F.col("first.doc_id").alias("anchor"), F.col("first.pos").alias("other"))
-    # Both sides salted: a line in a third of all documents is spread over SALTS tasks.
-    firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    pairs = occ.withColumn("salt", F.pmod("doc_id", F.lit(SALTS)).cast("int")).join(firsts, ["line", "salt"]).where("anchor < doc_id")
-
-    def align(batches):
+    """_id, _gone: the units that each later document loses."""
+    shared = anchored(stored(occurrences(docs)), "line")
+    # A document's rows are no more than its units.
+    shared = stored(shared.groupBy("doc_id").agg(F.collect_list(F.struct("line", "pos", "words", "anchor")).alias("rows")))
+    found = stored(shared.mapInArrow(runs, "doc_id long, run long, pos long, last long"))
+    hits = stored(anchored(found.where("run <> 0"), "run").where("anchor < doc_id"))
+    pairs = found.where("run = 0").selectExpr("doc_id", "pos as anchor").unionByName(hits.select("doc_id", "anchor")).distinct()
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    # An anchor's units once for each of its salts, so that no task reads all pairs of one anchor.
+    others = pairs.select("anchor", "salt").distinct().join(shared.select(F.col("doc_id").alias("anchor"), F.transform("rows", lambda r: F.struct(r["line"].alias("line"), r["pos"].alias("pos"))).alias("others")), "anchor")
+    parts = pairs.join(others, ["anchor", "salt"]).join(shared, "doc_id").select("doc_id", "rows", "others").mapInArrow(align, "_id long, _part array<int>")
+    # Runs count shared units; their places are looked up in the document's list.
+    spans = hits.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "last")).alias("spans")).join(shared, "doc_id").select("doc_id", "rows", "spans")
+
+    def spread(batches):
         for batch in batches:
             ids, out = [], []
-            for i, rows in zip(batch.column("doc_id").to_pylist(), batch.column("rows").to_pylist()):
-                by, gone = {}, set()
-                for r in rows:
-                    by.setdefault(r["anchor"], []).append((r["pos"], r["other"], r["words"]))
-                for g in by.values():
-                    gone.update(blocks(*zip(*g)))
-                if gone:
-                    ids.append(i)
-                    out.append(sorted(gone))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["_id", "_gone"])
-
-    # A document's rows are no more than its lines.
-    return pairs.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "pos", "other", "words")).alias("rows")).mapInArrow(align, "_id long, _gone array<int>")
+            for i, x, s in zip(batch.column("doc_id").to_pylist(), lists(batch, "rows"), lists(batch, "spans")):
+                step = np.zeros(len(x["pos"]) + 1, np.int64)
+                np.add.at(step, s["pos"], 1)
+                np.add.at(step, s["last"] + 1, -1)
+                ids.append(i)
+                out.append(np.sort(x["pos"])[np.cumsum(step[:-1]) > 0])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["_id", "_part"])
+
+    parts = parts.unionAll(spans.mapInArrow(spread, "_id long, _part array<int>"))
+    return parts.groupBy("_id").agg(F.array_distinct(F.flatten(F.collect_list("_part"))).alias("_gone"))
+
+
+def without(text: str, gone: set[int]) -> str:
+    """The text without those units; pieces without content go where the units around them went."""
+    out, held, k, last, left = [], [], 0, False, False
+    for p in units(text):
+        if not content(p):
+            held.append(p)
+            continue
+        now = k in gone
+        if not (last and now):
+            out += held
+        if not now:
+            out.append(p)
+            left = True
+        held, last, k = [], now, k + 1
+    return "".join(out + held) if left else ""
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -114,8 +221,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             if g is None or t is None:
                 out.append(t)
             else:
-                drop = set(map(int, g))
-                out.append("".join(p for k, (p, _, _) in enumerate(pieces(t)) if k not in drop))
+                out.append(without(t, set(map(int, g))))
         return pd.Series(out, dtype=object)
 
     cut = F.pandas_udf(run, "string")

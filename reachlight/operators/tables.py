@@ -26,11 +26,12 @@ def insert_or_ignore(target: DataFrame, rows: DataFrame, key: str, order: str) -
     return target.unionByName(first_wins(rows, key, order).join(target.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
-def snapshot_delta(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
+def snapshot_delta(old: DataFrame, new: DataFrame, key: str | list[str], value: str) -> DataFrame:
     """State of each key between two cycles: new, delisted, updated or same."""
-    o, n = old.select(key, F.col(value).alias("old_value")), new.select(key, F.col(value).alias("new_value"))
+    keys = [key] if isinstance(key, str) else key
+    o, n = old.select(*keys, F.col(value).alias("old_value")), new.select(*keys, F.col(value).alias("new_value"))
     state = F.expr("case when old_value is null then 'new' when new_value is null then 'delisted' when old_value <> new_value then 'updated' else 'same' end")
-    return o.join(n, key, "full").withColumn("state", state)
+    return o.join(n, keys, "full").withColumn("state", state)
 
 
 def changes(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:

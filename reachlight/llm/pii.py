@@ -3,7 +3,7 @@
 Card numbers (Luhn), phone numbers, social security numbers, IPv4 addresses and ISO dates (1900-01-01 to 2079-06-06)
 are permuted under a key within their own format, so equal values stay equal across documents and valid values stay
 valid. Cards keep length and separators and get a fresh Luhn digit. E-mail addresses, which have no numeric domain,
-get a keyed local part. Null text stays null; texts without matches, empty and repeated ones are returned as they are.
+get a keyed local part. Cards are sought in every span of whole digit groups of a longer run. Null text stays null; texts without matches, empty and repeated ones are returned as they are.
 """
 
 from __future__ import annotations
@@ -14,10 +14,15 @@ ROUNDS = 6
 DATE = r"(?:19\d\d|20[0-7]\d)-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])"
 CARD = r"\d(?:[ -]?\d){12,18}"
 SSN = r"\d{3}-\d{2}-\d{4}"
-PHONE = r"\+?\d{1,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\+\d(?:[ .-]?\d){8,13}"
+#: Groups of digits joined by single spaces and hyphens, 13 digits at least; possessive, so long runs need no stack.
+GROUPS = r"\d++(?:-\d++)*+(?![\w-]|\.\d)"
+RUN = rf"(?=\d(?:[ -]?\d){{12}}){GROUPS}(?: {GROUPS})*+"
+#: Without a country prefix: area code from 200 on, in brackets or followed by a point or hyphen.
+LOCAL = r"(?:\([2-9]\d{2}\)[ .-]?|[2-9]\d{2}[.-])\d{3}[ .-]?\d{4}"
+PHONE = rf"\+?\d{{1,3}}[ .-]?\(\d{{3}}\)[ .-]?\d{{3}}[ .-]?\d{{4}}|\+\d(?:[ .-]?\d){{8,13}}|{LOCAL}"
 IP = r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-ANY = rf"{EMAIL}|(?<![\w.-])(?:{DATE}|{SSN}|{IP}|{CARD}|{PHONE})(?![\w-]|\.\d)"
+ANY = rf"{EMAIL}|(?<![\w.-])(?:{DATE}|{SSN}|{IP}|{RUN}|{PHONE})(?![\w-]|\.\d)"
 
 
 def mix(key: str, tag: Column, k: int, half: Column) -> Column:
@@ -77,6 +82,34 @@ def kind_of(hit: Column) -> Column:
     )
 
 
+def parts(hit: Column) -> Column:
+    """The hit in parts that join to it. A run of digit groups is cut at the cards in it: of all spans of whole groups with
+    13 to 19 digits that pass Luhn, single groups first, then the usual shapes, then the longest, none overlapping."""
+
+    def cards(g: Column) -> Column:
+        span = lambda i, n: F.array_join(F.slice(g, i, n), "")
+        body = lambda i, n: F.regexp_replace(span(i, n), "[ -]$", "")
+        spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size(g)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(19), F.size(g) - i + 1)), lambda n: F.struct(i.alias("i"), n.alias("n"), body(i, n).alias("s")))))
+        valid = F.filter(spans, lambda x: F.length(only(x["s"])).between(13, 19) & (luhn_sum(only(x["s"]), 1) % 10 == 0))
+        usual = lambda x: x["s"].rlike(r"^(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|\d{4}([ -])\d{6}\2\d{5})$")
+        ranked = F.array_sort(F.transform(valid, lambda x: F.struct(F.when(x["n"] == 1, 0).when(usual(x), 1).otherwise(2).alias("rank"), (-F.length(only(x["s"]))).alias("short"), x["i"].alias("i"), x["n"].alias("n"))))
+        place = lambda x: F.struct(x["i"].alias("i"), x["n"].alias("n"))
+        free = lambda done, x: ~F.exists(done, lambda c: (c["i"] < x["i"] + x["n"]) & (x["i"] < c["i"] + c["n"]))
+        return F.array_sort(F.aggregate(ranked, F.array().cast("array<struct<i:int,n:int>>"), lambda done, x: F.when(free(done, x), F.concat(done, F.array(place(x)))).otherwise(done)))
+
+    def cut(g: Column, c: Column) -> Column:
+        ends = F.concat(c, F.array(F.struct((F.size(g) + 1).alias("i"), F.lit(0).alias("n"))))
+        before = lambda k: F.when(k == 0, 1).otherwise(F.try_element_at(c, k)["i"] + F.try_element_at(c, k)["n"])
+        rest = lambda k, x: F.array_join(F.slice(g, before(k), x["i"] - before(k)), "")
+        card = lambda x: F.array_join(F.slice(g, x["i"], x["n"]), "")
+        plain = lambda k, x: F.regexp_extract_all(rest(k, x), F.lit("([^ ]+| )"), F.lit(1))
+        split = lambda x: F.array(F.regexp_replace(card(x), "[ -]$", ""), F.regexp_extract(card(x), "[ -]?$", 0))
+        return F.flatten(F.transform(ends, lambda x, k: F.concat(plain(k, x), split(x))))
+
+    groups = F.regexp_extract_all(hit, F.lit(r"([0-9]+[ -]?)"), F.lit(1))
+    return F.when(hit.rlike(f"^(?:{RUN})$") & hit.rlike("[ -]"), tied(groups, lambda g: tied(cards(g), lambda c: cut(g, c)))).otherwise(F.array(hit))
+
+
 def pseudonym(hit: Column, kind: Column, key: str) -> Column:
     day = F.datediff(F.try_to_date(hit, "yyyy-MM-dd"), F.lit("1900-01-01").cast("date")).cast("long")
     two = F.lit(256).cast("long")
@@ -97,7 +130,8 @@ def pseudonymise(docs: DataFrame, key: str = "pseudonym-key-1") -> DataFrame:
     """doc_id, text with pseudonyms, n_found, kinds."""
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     df = df.withColumn("hits", F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1))).otherwise(F.array().cast("array<string>")))
-    df = df.withColumn("found", F.transform("hits", lambda h: F.struct(h.alias("hit"), kind_of(h).alias("kind"))))
-    df = df.withColumn("swap", F.transform("found", lambda x: pseudonym(x["hit"], x["kind"], key)))
+    df = df.withColumn("each", F.transform("hits", lambda h: F.transform(parts(h), lambda p: F.struct(p.alias("hit"), kind_of(p).alias("kind")))))
+    df = df.withColumn("found", F.flatten("each"))
+    df = df.withColumn("swap", F.transform("each", lambda e: F.array_join(F.transform(e, lambda x: pseudonym(x["hit"], x["kind"], key)), "")))
     new = F.array_join(F.flatten(F.zip_with(F.split("text", ANY, -1), "swap", lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     return df.select("doc_id", F.when(F.size("hits") > 0, new).otherwise(F.col("text")).alias("text"), F.expr("cast(size(filter(found, x -> x.kind is not null)) as bigint)").alias("n_found"), F.expr("array_join(array_sort(array_distinct(filter(transform(found, x -> x.kind), k -> k is not null))), ',')").alias("kinds"))

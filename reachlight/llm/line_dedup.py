@@ -92,11 +92,18 @@ def blocks(own: dict, other: dict) -> list[int]:
     return gone
 
 
+def slices(batches, rows: int = 500):
+    """The batches in small parts, so that few Python values live at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
     """doc_id, line, pos, words of a document's units; pos counts units."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             cols = [[], [], [], []]
             for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 for k, (h, n) in enumerate((h, n) for _, h, n in pieces(t) if h):
@@ -130,7 +137,7 @@ def lists(batch, name: str):
 
 def runs(batches):
     """doc_id, run, pos, last: the shortest runs of shared units from and up to each place; run 0: partners by single units (pos: partner)."""
-    for batch in batches:
+    for batch in slices(batches):
         cols = [[], [], [], []]
         for i, x in zip(batch.column("doc_id").to_pylist(), lists(batch, "rows")):
             order = np.argsort(x["pos"], kind="stable")
@@ -154,7 +161,7 @@ def runs(batches):
 
 def align(batches):
     """_id, _part: units that go by one pair."""
-    for batch in batches:
+    for batch in slices(batches):
         ids, out = [], []
         for i, x, y in zip(batch.column("doc_id").to_pylist(), lists(batch, "rows"), lists(batch, "others")):
             own = dict(zip(x["pos"].tolist(), zip(x["line"].tolist(), x["words"].tolist())))
@@ -180,7 +187,7 @@ def deletions(docs: DataFrame) -> DataFrame:
     spans = hits.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "last")).alias("spans")).join(shared, "doc_id").select("doc_id", "rows", "spans")
 
     def spread(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids, out = [], []
             for i, x, s in zip(batch.column("doc_id").to_pylist(), lists(batch, "rows"), lists(batch, "spans")):
                 step = np.zeros(len(x["pos"]) + 1, np.int64)

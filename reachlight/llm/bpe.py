@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame
 from .common import texts
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Pieces kept encoded by a worker; when full, the memory starts anew. Results do not depend on it.
-MEMO_PIECES = 1_000_000
+#: Bytes of encoded pieces that a worker keeps; when full, the memory starts anew. Results do not depend on it.
+MEMO_BYTES, ENTRY_BYTES = 64_000_000, 200
+#: Rows and tokens of one output batch, so that a worker holds few documents at a time.
+BATCH_ROWS, BATCH_TOKENS = 200, 500_000
 NONE = 1 << 62
 
 
@@ -54,6 +56,7 @@ class Bpe(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.held = 0
         spec = json.load(open(path, encoding="utf-8"))
         vocab = spec["model"]["vocab"]
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -68,10 +71,12 @@ class Bpe(dict):
         self.pieces = regex.compile(PATTERN).findall
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMO_PIECES:
-            self.clear()
         out = np.array(self.merged([self.byte_id[b] for b in piece.encode("utf-8", "replace")]), "<u4").tobytes()
         if len(piece) < 200:
+            self.held += ENTRY_BYTES + 2 * len(piece) + len(out)
+            if self.held > MEMO_BYTES:
+                self.clear()
+                self.held = 0
             self[piece] = out
         return out
 
@@ -123,19 +128,31 @@ def default_path() -> str:
 def encode_decode(docs: DataFrame, path: str | None = None, with_ids: bool = False, with_text: bool = False) -> DataFrame:
     """One row per document: n_tokens, ids_sha256, decoded_sha256; on demand also token_ids and decoded."""
     path = str(path or default_path())
-    extra = ", token_ids array<long>" * with_ids + ", decoded string" * with_text
+    extra = ", token_ids array<int>" * with_ids + ", decoded string" * with_text
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        doc, n, ids, sha, back, text = zip(*rows)
+        cols = {"doc_id": pa.array(doc, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(sha, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
+        if with_ids:
+            ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            cols["token_ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+        if with_text:
+            cols["decoded"] = pa.array(text, pa.string())
+        return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     def run(batches):
         bpe = load(path)
         for batch in batches:
-            rows = []
-            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = bpe.encode(t)
+            rows, held = [], 0
+            for i, t in zip(batch.column("doc_id"), batch.column("text")):
+                ids = bpe.encode(t.as_py())
                 back = bpe.decode(ids)
-                rows.append((i, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), *([np.frombuffer(ids, "<u4").tolist()] * with_ids), *([back] * with_text)))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), *([pa.list_(pa.int64())] * with_ids), *([pa.string()] * with_text)]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["token_ids"] * with_ids), *(["decoded"] * with_text)]
-            cols = list(zip(*rows)) if rows else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+                rows.append((i.as_py(), len(ids) // 4, ids if with_ids else b"", hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back if with_text else None))
+                held += len(ids) // 4
+                if len(rows) >= BATCH_ROWS or held >= BATCH_TOKENS:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+            if rows:
+                yield batch_of(rows)
 
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + extra)

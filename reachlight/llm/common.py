@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -21,11 +22,19 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def shared(spark, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names. Unset, only a single machine has a folder of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = tempfile.mkdtemp(prefix="checkpoints")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage by a table written once in the shared folder (checkpoint() would compute its input twice)."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints")
-    out = f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+    spark, out = df.sparkSession, shared(df.sparkSession, "table")
     df.write.parquet(out)
     return spark.read.schema(df.schema).parquet(out)
 

@@ -1,36 +1,44 @@
 """MinHash near-dedup with b-bit signatures.
 
 A document's set holds its distinct word shingles; texts with fewer words have their whole sequence as one shingle,
-texts without words an empty set that links with nothing. Documents with equal sets are one class, found by the set's
-hash. Classes meet in buckets of band keys; each compares itself with its bucket's first and last member, then with a
-few hashed centres of other components, and classes that are then still in different components are compared within
-their bucket, so that no link between components is lost. Candidates pass the packed b-bit estimate (bit counts, corrected for chance
-collisions) before links are confirmed on full sets. Null text counts as empty; repeated rows give repeated rows.
+texts without words an empty set that links with nothing. Rows with equal sets are one class, whatever their ids.
+Classes meet in buckets of band keys. Each is first compared with its bucket's most central class, then, while that
+merges components, with the most central one of another component; classes that are still in different components are
+compared within their buckets, each pair in its first common bucket only, so no link between components is lost.
+Candidates pass the packed b-bit estimate (bit counts, corrected for chance collisions) before links are confirmed on
+full sets, which travel once for each pair of blocks of a neighbourhood, not once for each pair of documents. Null text
+counts as empty; rows with a null doc_id link like others and take the smallest id they reach (null if none), kept
+false; repeated rows give repeated rows, rows that share an id but not the text are told apart; an empty table gives
+none; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, texts
+from .common import cut, ship
 
-ROWS, BANDS, BITS = 4, 24, 4
+#: Bands of ROWS minima give candidates; ESTIMATE minima of BITS bits each give estimates, for candidates alone.
+ROWS, BANDS, BITS, ESTIMATE = 4, 24, 4, 384
 HASHES = ROWS * BANDS
-#: The estimate may fall short of the threshold by this much (over five standard errors) before a candidate goes.
-MARGIN = 0.2
-#: Centres of a bucket with several components.
-CENTRES = 4
+#: The estimate may fall short of the threshold by this much (five standard errors) before a candidate goes.
+MARGIN = 0.095
+#: Rounds against central classes before components are compared with each other.
+CENTRES = 3
+#: Bytes and rows of one block of sets.
+BLOCK_BYTES, BLOCK_ROWS = 1 << 20, 512
 _rng = np.random.default_rng(7)
-MULTS, MASKS = _rng.integers(1, 1 << 32, (HASHES, 1), dtype=np.uint32) | np.uint32(1), _rng.integers(0, 1 << 32, (HASHES, 1), dtype=np.uint32)
+MULTS, MASKS = _rng.integers(1, 1 << 32, (ESTIMATE, 1), dtype=np.uint32) | np.uint32(1), _rng.integers(0, 1 << 32, (ESTIMATE, 1), dtype=np.uint32)
 U = np.uint64
 
 
 class Words(dict):
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[w] = xxhash.xxh64_intdigest(w)
         return h
@@ -50,62 +58,127 @@ def shingles(text: str, k: int, memo: Words) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(s: np.ndarray) -> tuple[list[int], list[int]]:
-    """Band keys, and the low bits of the minima packed by bit plane."""
-    low = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
+def minima(s: np.ndarray, many: int) -> np.ndarray:
+    """The least values of the set under the first `many` hash functions."""
+    low = np.full(many, np.iinfo(np.uint32).max, np.uint32)
     short = (s >> U(32)).astype(np.uint32)[None, :]
+    mults, masks = MULTS[:many], MASKS[:many]
     for i in range(0, len(s), 512):
-        x = short[:, i : i + 512] ^ MASKS
-        x *= MULTS
+        x = short[:, i : i + 512] ^ masks
+        x *= mults
         np.minimum(low, x.min(1), out=low)
-    low = low.astype(np.uint64)
+    return low.astype(np.uint64)
+
+
+def band_keys(s: np.ndarray) -> np.ndarray:
+    low = minima(s, HASHES)
     key = np.arange(BANDS, dtype=np.uint64) + U(1)
     for r in range(ROWS):
         key = (key ^ low[r::ROWS]) * U(0xD6E8FEB86659FD93)
         key ^= key >> U(32)
-    planes = np.packbits(((low[None, :] >> np.arange(BITS, dtype=np.uint64)[:, None]) & U(1)).astype(np.uint8), axis=1)
-    planes = np.pad(planes, ((0, 0), (0, -planes.shape[1] % 8)))
-    return key.view(np.int64).tolist(), np.ascontiguousarray(planes).view(">i8").reshape(-1).astype(np.int64).tolist()
+    return key.view(np.int64)
+
+
+def planes(s: np.ndarray) -> np.ndarray:
+    """The low bits of the minima, packed by bit plane."""
+    low = minima(s, ESTIMATE)
+    bits = np.packbits(((low[None, :] >> np.arange(BITS, dtype=np.uint64)[:, None]) & U(1)).astype(np.uint8), axis=1)
+    return np.ascontiguousarray(bits).view(">i8").reshape(-1).astype(np.int64)
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty) and a key that tells texts with one doc_id apart."""
+    ship(docs.sparkSession)
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+
+
+LONGS = pa.list_(pa.int64())
+
+
+def lists(arrays: list) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)]).astype(np.int64)))
 
 
-def sets(docs: DataFrame, k: int, full: bool) -> DataFrame:
-    """doc_id, n, set_key, and either the full set or band keys and planes."""
-    long = pa.list_(pa.int64())
+def parts(batches, rows: int = 500):
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+def sets(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, text_key, n, set_key and band keys of each row."""
+
+    def run(batches):
+        memo, none = Words(), np.zeros(0, np.int64)
+        for batch in parts(batches):
+            found = [shingles(t, k, memo) for t in batch.column("text").to_pylist()]
+            keys = [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in found], pa.int64()), pa.array(keys, pa.string()), lists([band_keys(s) if len(s) else none for s in found])],
+                names=["doc_id", "text_key", "n", "set_key", "bands"],
+            )
+
+    return texts(docs).mapInArrow(run, "doc_id long, text_key long, n long, set_key string, bands array<long>")
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """rep, n, planes and the full set of the wanted classes (rep, doc_id, text_key)."""
+    ids = wanted.select("rep", F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"))
+    got = texts(docs).join(ids, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_t"))).select("rep", "text")
 
     def run(batches):
         memo = Words()
-        for batch in batches:
-            ids, ns, keys, a, b = batch.column("doc_id").to_pylist(), [], [], [], []
-            for t in batch.column("text").to_pylist():
-                s = shingles(t, k, memo)
-                ns.append(len(s))
-                keys.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
-                x, y = (s.view(np.int64), []) if full else signature(s) if len(s) else ([], [])
-                a.append(x)
-                b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(keys, pa.string()), pa.array(a, long), *([] if full else [pa.array(b, long)])], names=["doc_id", "n", "set_key", "shingles"] if full else ["doc_id", "n", "set_key", "bands", "planes"])
+        for batch in parts(batches):
+            found = [shingles(t, k, memo) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rep"), pa.array([len(s) for s in found], pa.int64()), lists([planes(s) for s in found]), lists([s.view(np.int64) for s in found])], names=["rep", "n", "planes", "shingles"]
+            )
 
-    return texts(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, n long, set_key string, " + ("shingles array<long>" if full else "bands array<long>, planes array<long>"))
+    # Rows repeated with id and text give their class twice; a class is needed once.
+    return got.mapInArrow(run, "rep long, n long, planes array<long>, shingles array<long>").dropDuplicates(["rep"])
 
 
 def similar(a: str, b: str) -> str:
     """SQL of the estimate: share of equal b-bit values, corrected for chance."""
-    per = (HASHES + 63) // 64
+    per = ESTIMATE // 64
     words = [" | ".join(f"({a}[{p * per + w}] ^ {b}[{p * per + w}])" for p in range(BITS)) for w in range(per)]
-    equal = f"({HASHES} - " + " - ".join(f"bit_count({w})" for w in words) + f") / {float(HASHES)}"
+    equal = f"({ESTIMATE} - " + " - ".join(f"bit_count({w})" for w in words) + f") / {float(ESTIMATE)}"
     return f"(({equal}) - {2.0**-BITS}) / {1 - 2.0**-BITS}"
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, planes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The links among the pairs (a, b): by estimate, then on full sets."""
-    least = num / den - MARGIN
-    pa_, pb = planes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("planes").alias("xa")), planes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("planes").alias("xb"))
-    near = pairs.join(pa_, "a").join(pb, "b").where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)").where(f"{similar('xa', 'xb')} >= {least}").select("a", "b")
-    near = cut(near)
-    used = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-    rows = sets(texts(docs).join(used, F.col("doc_id") == F.col("id"), "left_semi"), k, True).dropDuplicates(["doc_id"])
-    both = near.join(rows.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(rows.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    return both.withColumn("i", F.size(F.array_intersect("sa", "sb"))).where(f"{den} * i >= {num} * (size(sa) + size(sb) - i)").select("a", "b")
+def confirm(num: int, den: int):
+    def run(pairs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        """Links that join components of this group of pairs; pairs already joined need no test."""
+        held, root, out = dict(zip(rows["rep"], rows["shingles"])), {}, []
+
+        def find(x):
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
+            return x
+
+        for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist()):
+            if (p := find(a)) != (q := find(b)):
+                x, y = held[a], held[b]
+                i = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+                if den * i >= num * (len(x) + len(y) - i):
+                    root[p] = q
+                    out.append((a, b))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def confirmed(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
+    """Links among estimated pairs (a, b) that span the pairs' components; full: rep, shingles, home, salt."""
+    at = full.select("rep", "home", "salt")
+    x, y = (at.select(F.col("rep").alias(s), F.struct("home", "salt").alias("_" + s)) for s in "ab")
+    pairs = pairs.join(x, "a").join(y, "b")
+    # A pair of blocks, whichever of the two comes first.
+    pairs = pairs.select("a", "b", F.xxhash64(F.least("_a", "_b"), F.greatest("_a", "_b")).alias("at"))
+    used = pairs.select(F.col("at").alias("of"), F.col("a").alias("rep")).union(pairs.select("at", "b")).distinct()
+    return pairs.groupBy("at").cogroup(used.join(full.select("rep", "shingles"), "rep").groupBy("of")).applyInPandas(confirm(num, den), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -127,48 +200,105 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "id")
 
 
+def rooted(rows: DataFrame, roots: DataFrame, name: str = "rep", out: str = "root") -> DataFrame:
+    """rows with the root of their class; a class without links is its own."""
+    return rows.join(roots.select(F.col("id").alias(name), F.col("root").alias(out)), name, "left").withColumn(out, F.coalesce(out, name))
+
+
+def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Roots after further links, which are first drawn between the roots so far."""
+    if roots is None:
+        return cut(components(links))
+    between = rooted(rooted(links, roots, "a", "ra"), roots, "b", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    more = cut(components(between))
+    old = rooted(roots.withColumnRenamed("root", "mid"), more, "mid", "root").select("id", "root")
+    return cut(old.unionByName(more.join(roots.select("id"), "id", "left_anti")))
+
+
 def mixed(slots: DataFrame, roots: DataFrame) -> DataFrame:
-    """key, rep, root of the buckets that hold several components."""
-    rows = slots.select("key", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    """Slots, with roots, of the buckets that hold several components."""
+    rows = rooted(slots, roots)
     keys = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
     return rows.join(keys, "key", "left_semi")
 
 
+def classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_key, n, rep; rep null: empty set), and the root of each linked class (id, root)."""
+    sig = cut(sets(docs, k))
+    reps = sig.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.min("bands").alias("bands"))
+    # The numbers are read back from the written table, so they do not change when a task runs again.
+    reps = cut(reps.select("set_key", "first.doc_id", "first.text_key", "bands", F.monotonically_increasing_id().alias("rep")))
+    rows = sig.select("doc_id", "text_key", "n", "set_key").join(reps.select("set_key", "rep"), "set_key", "left").drop("set_key")
+    slots = reps.select("rep", F.posexplode("bands").alias("band", "key"))
+    slots = cut(slots.join(slots.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key"))
+    # A class of many large buckets is in the middle of its neighbourhood; it stands for all of them.
+    slots = cut(slots.join(slots.groupBy("rep").agg(F.sum("m").alias("weight")), "rep").drop("m"))
+    centre = slots.groupBy("key").agg(F.max(F.struct("weight", "rep")).alias("c"))
+    star = cut(slots.join(centre, "key").select("rep", "c"))
+    home = star.groupBy("rep").agg(F.max("c")["rep"].alias("home"))
+    full = full_sets(docs, reps.join(home, "rep"), k).join(home, "rep")
+    full = cut(full)
+    size = full.groupBy("home").agg(F.ceil(F.greatest(F.sum(F.col("n") * 8) / BLOCK_BYTES, F.count("*") / BLOCK_ROWS)).alias("blocks"))
+    full = cut(full.join(size, "home").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("blocks"))).drop("blocks"))
+    least = num / den - MARGIN
+
+    def estimated(pairs: DataFrame) -> DataFrame:
+        x, y = (full.select(F.col("rep").alias(s), F.col("n").alias("n" + s), F.col("planes").alias("x" + s)) for s in "ab")
+        near = pairs.join(x, "a").join(y, "b").where(f"{den} * least(na, nb) >= {num} * greatest(na, nb) and {similar('xa', 'xb')} >= {least}")
+        return cut(near.select("a", "b"))
+
+    pairs = star.select(F.col("rep").alias("a"), F.col("c.rep").alias("b")).where("a <> b").distinct()
+    roots = merged(None, cut(confirmed(estimated(pairs), full, num, den)))
+    open_ = cut(mixed(slots, roots))
+    for _ in range(CENTRES):
+        # The most central class outside the component of the bucket's own centre, against all others of other components.
+        first = open_.groupBy("key").agg(F.max_by("root", F.struct("weight", "rep")).alias("main"))
+        other = open_.join(first, "key").where("root <> main").groupBy("key").agg(F.max(F.struct("weight", "rep", "root")).alias("c"))
+        pairs = open_.join(other, "key").where("root <> c.root").select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
+        links = cut(confirmed(estimated(pairs), full, num, den))
+        if links.isEmpty():
+            break
+        roots = merged(roots, links)
+        open_ = cut(mixed(open_.drop("root"), roots))
+    # What is left is compared across components, each pair in its first common bucket.
+    rest = open_.select("key", "band", "rep", "root").join(full.select("rep", "n", "planes"), "rep").join(reps.select("rep", "bands"), "rep")
+    rest = cut(rest)
+    l, r = (rest.select("key", *(F.col(c).alias(c + s) for c in ("rep", "root", "n", "planes", "bands")), *([F.col("band")] if s == "x" else [])) for s in "xy")
+    first = "array_position(zip_with(bandsx, bandsy, (p, q) -> p = q), true) = band + 1"
+    near = f"repx < repy and rootx <> rooty and {den} * least(nx, ny) >= {num} * greatest(nx, ny) and {similar('planesx', 'planesy')} >= {least} and {first}"
+    links = cut(confirmed(cut(l.join(r, "key").where(near).select(F.col("repx").alias("a"), F.col("repy").alias("b"))), full, num, den))
+    return rows, roots if links.isEmpty() else merged(roots, links)
+
+
+def with_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, text_key, n, node (the component; null: empty set) of each row."""
+    rows, roots = classes(docs, k, num, den)
+    return cut(rooted(rows, roots, "rep", "node"))
+
+
 def near_components(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; a link needs den * intersection >= num * union."""
-    sig = cut(sets(docs, k, False))
-    member = sig.select("doc_id", "n", "set_key")
-    rep = member.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    planes = cut(sig.where("set_key is not null").join(rep.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n", "planes", "bands"))
-    slots = planes.select("rep", F.explode("bands").alias("key"))
-    ends = slots.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-    slots = cut(slots.join(ends, "key").select("key", "rep", "lo", "hi"))
-    star = slots.select(F.col("lo").alias("a"), F.col("rep").alias("b")).union(slots.select(F.col("rep").alias("a"), F.col("hi").alias("b"))).where("a < b").distinct()
-    links = cut(confirmed(docs, star, planes, k, num, den))
-    roots = components(links)
-    # Buckets that still hold several components: first a few hashed centres each, against rows of other components.
-    open_ = cut(mixed(slots, roots))
-    centres = open_.groupBy("key").agg(F.array_distinct(F.array(*(F.min_by(F.struct("rep", "root"), F.xxhash64("rep", F.lit(c))) for c in range(CENTRES)))).alias("centres"))
-    more = open_.join(centres, "key").select("rep", F.explode(F.expr("transform(filter(centres, c -> c.root <> root), c -> c.rep)")).alias("c"))
-    more = more.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
-    extra = cut(confirmed(docs, more, planes, k, num, den))
-    if not extra.isEmpty():
-        links = links.union(extra)
-        roots = components(links)
-    # What is left is compared across components only.
-    rest = cut(mixed(open_, roots).join(planes.select("rep", "n", "planes"), "rep"))
-    l, r = (rest.select("key", F.col("rep").alias(s), F.col("root").alias("r" + s), F.col("n").alias("n" + s), F.col("planes").alias("x" + s)) for s in "ab")
-    least = num / den - MARGIN
-    more = l.join(r, "key").where(f"a < b and ra <> rb and {den} * least(na, nb) >= {num} * greatest(na, nb) and {similar('xa', 'xb')} >= {least}").select("a", "b").distinct()
-    more = more.join(star, ["a", "b"], "left_anti")
-    extra = cut(confirmed(docs, more, planes, k, num, den))
-    if not extra.isEmpty():
-        roots = components(links.union(extra))
-    ids = member.join(rep, "set_key", "left").join(roots, F.col("rep") == F.col("id"), "left")
-    return ids.withColumn("component_id", F.coalesce("root", "rep", "doc_id")).select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    rows = with_components(docs, k, num, den)
+    low = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
+    out = rows.join(low, "node", "left").withColumn("component_id", F.coalesce("low", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One document of each group (the smallest id); all columns stay."""
-    gone = near_components(docs, k, num, den).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One row of each component (the smallest id, then the smallest text key), all rows without words; all columns stay.
+
+    Rows equal in id and text are one document: one of them stays. An id of null comes last.
+    """
+    rows = with_components(docs, k, num, den).where("node is not null")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    first = rows.groupBy("node").agg(F.min(order).alias("first"), F.count("*").alias("many")).where("many > 1")
+    both = rows.join(first, "node")
+    same = order == F.col("first")
+    gone = both.where(~same).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")).distinct()
+    twice = both.where(same).groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")).agg(F.count("*").alias("many")).where("many > 1").select("_d", "_t")
+    on = docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_t"))
+    twice = cut(twice)
+    left = docs.join(gone, on, "left_anti")
+    if twice.isEmpty():
+        return left
+    return left.join(twice, on, "left_anti").unionByName(docs.join(twice, on).dropDuplicates(["_d", "_t"]).select(*docs.columns))

@@ -6,8 +6,9 @@ words. The document with the smallest id that holds a run is its anchor: the lat
 pair that shares a run, or MIN_BLOCK words of units first seen in one document, is aligned by patience diff over all
 units the two share. So pairs grow with the shared runs, not with the square of their groups. Aligned common blocks of
 at least MIN_BLOCK words go from the later document. In scripts without spaces two characters count as a word. Null
-text and texts without such units stay as they are; of rows with one doc_id the texts are treated as one document's;
-ties go to the smaller position. Documents that lose every word are dropped.
+text and texts without such units stay as they are. Documents are ordered by id, then by the text's hash, a null id
+last, and told apart by both; rows equal in both are one document, of which all copies lose the same. Ties go to the
+smaller position. Documents that lose every word are dropped; an empty table gives none; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -21,26 +22,31 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut as stored
+from .common import cut as stored, ship
 
 #: GAP: units between two of one block that may differ, plus 1. HEAVY: a key with more rows is dealt over SALTS tasks.
 MIN_BLOCK, GAP, SALTS, HEAVY = 30, 3, 64, 500
-units = re.compile(r"[^\n]*?(?:[.!?](?=\s)|[。！？])[ \t]*|[^\n]+|\n").findall
+ends = re.compile(r"[.!?](?=\s)[ \t]*\n?|[。！？][ \t]*\n?|\n").finditer
 content = re.compile(r"[^\W_]").search
 dense = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]").findall
 
 
-def pieces(text: str) -> list[tuple[str, int, int]]:
-    """(piece, hash, words); the pieces join to the text; hash 0: no letter or digit."""
-    out = []
-    for u in units(text):
-        if content(u):
-            w = u.split()
-            n = len(w) if u.isascii() else max(len(w), len(dense(u)) // 2)
-            out.append((u, xxhash.xxh64_intdigest(" ".join(w).lower()) - (1 << 63) or 1, n))
-        else:
-            out.append((u, 0, 0))
-    return out
+def units(text: str) -> list[str]:
+    """The text in pieces that end with a sentence or a line; they join to the text."""
+    stops = [m.end() for m in ends(text)]
+    return [text[a:b] for a, b in zip([0, *stops], [*stops, len(text)]) if a < b]
+
+
+def hashes(text: str) -> tuple[list[int], list[int]]:
+    """Hash and number of words of each unit with a letter or digit."""
+    lines, many, low = [], [], text.lower()
+    plain = low.isascii()
+    for u in units(low):
+        w = u.split()
+        if w and (w[0][0].isalnum() or content(u)):
+            lines.append(xxhash.xxh64_intdigest(" ".join(w)) - (1 << 63) or 1)
+            many.append(len(w) if plain or u.isascii() else max(len(w), len(dense(u)) // 2))
+    return lines, many
 
 
 def patience(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -100,18 +106,22 @@ def slices(batches, rows: int = 500):
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, line, pos, words of a document's units; pos counts units."""
+    """doc_id, line, pos, words of the units of docs (doc_id, text); pos counts units."""
 
     def run(batches):
         for batch in slices(batches):
-            cols = [[], [], [], []]
-            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                for k, (h, n) in enumerate((h, n) for _, h, n in pieces(t) if h):
-                    for c, x in zip(cols, (i, h, k, n)):
-                        c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "line", "pos", "words"])
+            ids, size, lines, many = batch.column("doc_id").to_numpy(), [], [], []
+            for t in batch.column("text").to_pylist():
+                h, n = hashes(t)
+                size.append(len(h))
+                lines += h
+                many += n
+            size = np.array(size, np.int64)
+            pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            cols = pa.array(np.repeat(ids, size), pa.int64()), pa.array(lines, pa.int64()), pa.array(pos.astype(np.int32)), pa.array(many, pa.int32())
+            yield pa.RecordBatch.from_arrays(list(cols), names=["doc_id", "line", "pos", "words"])
 
-    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, line long, pos int, words int")
+    return docs.where("text is not null").mapInArrow(run, "doc_id long, line long, pos int, words int")
 
 
 def anchored(rows: DataFrame, key: str) -> DataFrame:
@@ -123,7 +133,7 @@ def anchored(rows: DataFrame, key: str) -> DataFrame:
     salt = F.when(F.col("heavy"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("int")
     firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), salted - 1))).drop("n")
     # Keys with more than HEAVY rows are few: at most one in HEAVY rows.
-    return rows.join(F.broadcast(heavy), key, "left").withColumn("salt", salt).drop("heavy").join(firsts, [key, "salt"]).drop("salt")
+    return rows.join(F.broadcast(heavy), key, "left").withColumn("salt", salt).drop("heavy").join(firsts.hint("shuffle_hash"), [key, "salt"]).drop("salt")
 
 
 def lists(batch, name: str):
@@ -218,23 +228,30 @@ def without(text: str, gone: set[int]) -> str:
     return "".join(out + held) if left else ""
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with a number __row that orders them: the id, or where ids are null or repeated the place by id and text; and the texts of each number once."""
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        rows = docs.withColumn("__row", F.col("doc_id").cast("long"))
+        return rows, rows.select(F.col("__row").alias("doc_id"), "text")
+    keys = docs.select(F.col("doc_id").alias("__d"), F.xxhash64("text").alias("__t")).distinct().orderBy(F.col("__d").asc_nulls_last(), "__t")
+    keys = stored(keys.withColumn("__row", F.monotonically_increasing_id()))
+    rows = docs.join(keys, docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__t"))).drop("__d", "__t")
+    return rows, rows.select(F.col("__row").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """All columns of the documents, the text without the deleted blocks; documents left without a word are dropped."""
-    gone = deletions(docs)
+    ship(docs.sparkSession)
+    rows, texts = numbered(docs)
+    gone = deletions(texts)
 
     def run(text: pd.Series, gone: pd.Series) -> pd.Series:
-        out = []
-        for t, g in zip(text, gone):
-            if g is None or t is None:
-                out.append(t)
-            else:
-                out.append(without(t, set(map(int, g))))
-        return pd.Series(out, dtype=object)
+        return pd.Series([t if g is None or t is None else without(t, set(map(int, g))) for t, g in zip(text, gone)], dtype=object)
 
     cut = F.pandas_udf(run, "string")
-    joined = docs.join(gone, docs["doc_id"] == gone["_id"], "left")
-    done = joined.withColumn("text", F.when(F.col("_gone").isNull(), docs["text"]).otherwise(cut(docs["text"], F.col("_gone"))))
-    done = done.where(F.col("_gone").isNull() | (F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0))
+    joined = rows.join(gone, F.col("__row") == F.col("_id"), "left")
+    done = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(cut("text", "_gone")))
+    done = done.where(F.col("_gone").isNull() | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("_gone").isNull(), docs["n_chars"]).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        done = done.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return done.select(*docs.columns)

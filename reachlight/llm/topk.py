@@ -1,59 +1,75 @@
 """Exact top-k inner products by MaxScore, over shards of vectors.
 
-Dimensions are terms. Shifting each term's contribution by its least value in a shard makes it non-negative, with an
-upper bound; terms in falling order of bound are essential while the rest could still lift an unseen row to the
-threshold. Essential postings are scored first; the others are probed only for rows that stay competitive. Shards'
-lists are merged. Vectors that are null or hold null or non-finite components take no part; ties go to the smaller
-id; repeated rows count as rows; fewer than k rows give all. Vectors of other lengths than the query's are no match.
+Dimensions are terms; a shard holds one posting per row and term, kept by term. Per term and shard the least and the
+greatest contribution to each query are known. Terms in falling order of their spread are essential until the rest
+could not lift a row with least essential contributions to the query's threshold. Essential postings are scored for all
+rows; the other terms are probed only for rows whose bound still reaches the threshold; shards whose bound is below it
+are skipped. Thresholds rise from shard to shard, and the shards' lists are merged. Queries go out in blocks of bounded
+size, one after another; vectors are read in place and never copied or shuffled.
+
+Vectors that are null or hold null or non-finite components take no part; ties go to the smaller id; repeated rows count
+as rows, and a query leaves out one row equal to itself in id and vector (its own); fewer than k rows give all. Vectors
+of other lengths than the query's are no match. Scores are exact below 2**53. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-SHARD, BLOCK, FIRST = 4096, 512, 256
-
-
-def maxscore(q: np.ndarray, X: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, floor: float) -> np.ndarray:
-    """Row numbers that may be among the k best with at least `floor`; X: rows by terms, low and high: per term."""
-    a, b = q * low, q * high
-    base, span = np.minimum(a, b), np.abs(b - a)
-    order = np.argsort(-span, kind="stable")
-    rest = np.concatenate([np.cumsum(span[order][::-1])[::-1], [0]])
-    total = base.sum()
-    essential = len(q) if floor == -np.inf else int(np.searchsorted(-(total + rest), -floor, side="right"))
-    essential = max(1, min(len(q), essential))
-    dims = order[:essential]
-    part = X[:, dims] @ q[dims] - base[dims].sum() + total
-    alive = np.arange(len(X))
-    for s in range(essential, len(q) + 16, 16):
-        if len(part) > k:
-            floor = max(floor, np.partition(part, -k)[-k])
-        keep = part + rest[min(s, len(q))] >= floor
-        alive, part = alive[keep], part[keep]
-        if s >= len(q) or not len(alive):
-            break
-        dims = order[s : s + 16]
-        part = part + X[np.ix_(alive, dims)] @ q[dims] - base[dims].sum()
-    return alive
-
-
-def shard_top(Q: np.ndarray, qid: np.ndarray, qrow: np.ndarray, X: np.ndarray, xid: np.ndarray, xrow: np.ndarray, k: int) -> pd.DataFrame:
-    out = []
-    low, high = X.min(0), X.max(0)
-    for q, i, w in zip(Q, qid, qrow):
-        # The first rows give the threshold that splits the terms for the rest of the shard.
-        seen = X[:FIRST] @ q
-        floor = float(np.partition(seen, -k - 1)[-k - 1]) if len(seen) > k else -np.inf
-        at = maxscore(q, X, low, high, k + 1, floor)
-        score = X[at] @ q
-        own = xrow[at] != w
-        at, score = at[own], score[own]
-        best = np.lexsort((xid[at], -score))[:k]
-        out += [(int(i), int(w), int(xid[at[j]]), int(score[j])) for j in best]
-    return pd.DataFrame(out, columns=["query_id", "query_row", "vec_id", "score"])
+from .common import cut, ship
+
+#: Rows of a shard; rows that set the first threshold; bytes of queries in one block.
+SHARD, FIRST, BLOCK_BYTES = 2048, 256, 4_000_000
+
+
+class Best:
+    """The best k + 1 rows of each query so far, a query's own row among them."""
+
+    def __init__(self, Q: np.ndarray, ids: np.ndarray, k: int):
+        self.Q, self.ids, self.k = Q, ids, k + 1
+        self.q, self.id, self.score, self.same = (np.zeros(0, t) for t in (np.int64, np.int64, np.float64, bool))
+        self.floor = np.full(len(Q), -np.inf)
+
+    def add(self, X: np.ndarray, xid: np.ndarray) -> None:
+        for a, b in [(0, FIRST), *((i, i + SHARD) for i in range(FIRST, len(X), SHARD))]:
+            if len(X[a:b]):
+                self.shard(np.ascontiguousarray(X[a:b].T), xid[a:b])
+
+    def shard(self, T: np.ndarray, xid: np.ndarray) -> None:
+        """T: terms by rows, a term's postings in one line."""
+        Q = self.Q
+        x, y = Q * T.min(1), Q * T.max(1)
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        active = np.flatnonzero(high.sum(1) >= self.floor)
+        if not len(active):
+            return
+        order = np.argsort(-(high - low)[active].mean(0), kind="stable")
+        low, high, floor, q = low[active][:, order], high[active][:, order], self.floor[active], Q[active][:, order]
+        # Most that a row can score whose first e terms contribute their least.
+        unseen = np.concatenate([high.sum(1, keepdims=True), high.sum(1, keepdims=True) + np.cumsum(low - high, 1)], 1)
+        e = int(np.where((unseen < floor[:, None]).any(1), (unseen < floor[:, None]).argmax(1), len(order)).max())
+        part = q[:, :e] @ T[order[:e]]
+        who, row = np.nonzero(part + high[:, e:].sum(1)[:, None] >= floor[:, None])
+        score = part[who, row]
+        for s in range(e, len(order), 16):
+            more = order[s : s + 16]
+            score = score + np.einsum("ij,ji->i", q[who, s : s + 16], T[np.ix_(more, row)])
+            stays = score + high[who, s + 16 :].sum(1) >= floor[who]
+            who, row, score = who[stays], row[stays], score[stays]
+        # Of many rows that pass, a partition leaves the best (and their equals).
+        who, own = active[who], xid[row] == self.ids[active[who]]
+        own[own] = (T[:, row[own]].T == Q[who[own]]).all(1)
+        q, id_, score, same = np.concatenate([self.q, who]), np.concatenate([self.id, xid[row]]), np.concatenate([self.score, score]), np.concatenate([self.same, own])
+        by = np.lexsort((id_, -score, q))
+        q, id_, score, same = q[by], id_[by], score[by], same[by]
+        first = np.searchsorted(q, np.arange(len(Q)))
+        place = np.arange(len(q)) - first[q]
+        top = place < self.k
+        self.q, self.id, self.score, self.same = q[top], id_[top], score[top], same[top]
+        full = place == self.k - 1
+        self.floor[q[full]] = score[full]
 
 
 def vectors(emb: DataFrame) -> DataFrame:
@@ -62,30 +78,49 @@ def vectors(emb: DataFrame) -> DataFrame:
     return emb.where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
 
+def matrices(batch) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ids, rows by terms) of a batch for each length of its vectors."""
+    ids, col = batch.column("vec_id").to_numpy(), batch.column("v")
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    ends, flat = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False)
+    size = np.diff(ends)
+    return [(ids[at := np.flatnonzero(size == n)], flat[ends[at][:, None] + np.arange(n)]) for n in np.unique(size).tolist()]
+
+
+def block_top(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Best rows of one bounded block of queries: query (place in the block), query_id, vec_id, score, same."""
+    sent = rows.sparkSession.sparkContext.broadcast(matrices(queries.toArrow()))
+
+    def run(batches):
+        best = {Q.shape[1]: Best(Q, ids, k) for ids, Q in sent.value}
+        for batch in batches:
+            for xid, X in matrices(batch):
+                if X.shape[1] in best:
+                    best[X.shape[1]].add(X, xid)
+        for n, b in best.items():
+            cols = b.q + (n << 32), b.ids[b.q], b.id, b.score.astype(np.int64), b.same
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["query", "query_id", "vec_id", "score", "same"])
+
+    return rows.mapInArrow(run, "query long, query_id long, vec_id long, score long, same boolean")
+
+
 def top_k(emb: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """query_id, rank, vec_id, score of the rows whose id divides by `every`, against all other rows."""
-    rows = vectors(emb).withColumn("row", F.row_number().over(Window.partitionBy("vec_id").orderBy("v")).cast("long")).withColumn("dim", F.size("v"))
-    n = rows.count()
-    n_shards, n_blocks = max(1, -(-n // SHARD)), max(1, -(-n // (every * BLOCK)))
-    shards = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "row"), F.lit(n_shards)).cast("int"))
-    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).withColumn("block", F.pmod(F.xxhash64("row", "vec_id"), F.lit(n_blocks)).cast("int"))
-    left = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
-    right = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-
-    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({c: np.zeros(0, "int64") for c in ("query_id", "query_row", "vec_id", "score")})]
-        for dim, g in a.groupby("dim"):
-            x = b[b["dim"] == dim]
-            if len(x):
-                # A row is told from its equals by id and number.
-                tag = lambda f: f["vec_id"].to_numpy() * 1_000_003 + f["row"].to_numpy()
-                t = shard_top(np.stack(g["v"]), g["vec_id"].to_numpy(), tag(g), np.stack(x["v"]), x["vec_id"].to_numpy(), tag(x), k)
-                out.append(t)
-        return pd.concat(out)
-
-    part = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(search, "query_id long, query_row long, vec_id long, score long")
-    best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
-    return part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ship(emb.sparkSession)
+    rows = vectors(emb)
+    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
+    size = asked.agg(F.sum(8 * F.size("v") + 8)).first()[0] or 0
+    blocks, out = 1 + int(size) // BLOCK_BYTES, None
+    for b in range(blocks):
+        part = block_top(rows, asked.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)) == b), k).withColumn("block", F.lit(b))
+        part = cut(part) if blocks > 1 else part
+        out = part if out is None else out.unionAll(part)
+    by = Window.partitionBy("block", "query").orderBy(F.desc("score"), "vec_id", F.desc("same"))
+    top = out.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k + 1)
+    # The first row equal to the query is its own; those behind it move up.
+    own = F.min(F.when(F.col("same"), F.col("place"))).over(Window.partitionBy("block", "query"))
+    top = top.withColumn("own", F.coalesce(own, F.lit(k + 2))).where("place <> own")
+    return top.select("query_id", (F.col("place") - (F.col("place") > F.col("own")).cast("int")).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
 SQL = """

@@ -1,5 +1,7 @@
 """License scans: ordered signature rules behind a keyword gate, DataFrame functions only.
 
+A rule is a name in a frame; `rules` deals the few hand-written frames over the hand-written names.
+
 Words are runs of ASCII letters (A-Z lowered), digits and non-ASCII characters. Each rule's pattern runs only on texts
 that hold its keyword; a detection inside another of higher priority (or of equal priority and longer) is suppressed.
 Null or empty text: no words, no detections, score 0. Repeated rows repeat; extra columns are ignored.
@@ -23,6 +25,8 @@ NAMES = [
     ("mpl-1.1", "mozilla", "mozilla public license(?: version)? 1 1"), ("mpl-2.0", "mozilla", "mozilla public(?: license(?: version)? 2 0)?"), ("epl-1.0", "eclipse", "eclipse public license(?: version)? 1 0"), ("epl-2.0", "eclipse", "eclipse public(?: license(?: version)? 2 0)?"), ("cddl", "distribution", "common development and distribution"), ("cpl-1.0", "common", "common public"), ("eupl", "european", "european union public"), ("artistic", "artistic", "(?:clarified )?artistic(?: license 2 0)?"), ("zlib", "zlib", "zlib(?: libpng)?"), ("boost", "boost", "boost software"), ("unlicense", "unlicense", "unlicense"), ("wtfpl", "wtfpl", "wtfpl"), ("python", "python", "python software foundation"), ("ofl", "font", "(?:sil )?open font"), ("odbl", "database", "open database"), ("openssl", "openssl", "openssl"), ("postgresql", "postgresql", "postgresql"), ("ms-pl", "microsoft", "microsoft public"), ("bsl", "business", "business source"), ("sspl", "server", "server side public"),
     ("cc0", "cc0", "(?:cc0|cc 0)(?: 1 0)?"), ("cc-by-nc-nd", "cc", "cc by nc nd(?: [1-4] 0)?"), ("cc-by-nc-sa", "cc", "cc by nc sa(?: [1-4] 0)?"), ("cc-by-nc", "cc", "cc by nc(?: [1-4] 0)?"), ("cc-by-nd", "cc", "cc by nd(?: [1-4] 0)?"), ("cc-by-sa", "cc", "cc by sa(?: [1-4] 0)?"), ("cc-by", "cc", "cc by(?: [1-4] 0)?"), ("cc-by", "creative", "creative commons attribution"), ("cc", "creative", "creative commons"),
 ]
+#: Items between two appends to the whole result of a sweep.
+PART = 128
 #: priority, pattern around a name.
 FRAMES = [
     (40, " (?:is |are )?(?:licensed|distributed|released|available|published|provided) under (?:the )?(?:terms of (?:the )?)?{n}(?: licen[sc]e)?(?: version [0-9]+(?: [0-9]+)?)?(?= )"),
@@ -42,6 +46,17 @@ def quoted(s: str) -> str:
     return "r'" + s.replace("'", "\\'") + "'"
 
 
+RANKS = sorted({rank for rank, _ in FRAMES} | {rank for _, _, rank, _ in OWN})
+
+
+def swept(items: str, start: str, state: str, value: str, kind: str) -> str:
+    """SQL: value(z, x) of each item x, where z goes from `start` by state(z, x); in parts, so that appending stays cheap."""
+    none = f"cast(array() as array<{kind}>)"
+    inner = f"aggregate(part, struct(t.z as z, {none} as out), (u, x) -> transform(array(u.z), z -> struct({state} as z, concat(u.out, array({value})) as out))[0])"
+    parts = f"transform(array({items}), a -> transform(sequence(0, size(a) div {PART}), p -> slice(a, p * {PART} + 1, {PART})))[0]"
+    return f"aggregate({parts}, struct({start} as z, {none} as out), (t, part) -> transform(array({inner}), i -> struct(i.z as z, concat(t.out, i.out) as out))[0], t -> t.out)"
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score; detections (label, start, end) as words."""
     low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -57,13 +72,18 @@ def scan(docs: DataFrame) -> DataFrame:
     df = df.withColumn("words", F.when(F.contains("norm", F.lit(" license ")), words).otherwise(F.array(F.lit("")))).withColumn("base", F.expr(f"concat({', '.join(hits)})"))
     table = "array(" + ", ".join(f"named_struct('label', {quoted(a)}, 'word', {quoted(b)}, 'rank', {c}, 'pattern', {quoted(d)})" for a, b, c, d in rules()) + ")"
     # Start and end characters of every hit of a rule, from the pieces between hits.
-    spans = """flatten(transform(filter(RULES, r -> contains(norm, r.word)), r -> transform(
-        aggregate(zip_with(slice(split(norm, r.pattern, -1), 1, size(regexp_extract_all(norm, r.pattern, 0))), regexp_extract_all(norm, r.pattern, 0), (a, b) -> struct(length(a) as gap, length(b) as long)),
-          struct(0 as pos, cast(array() as array<struct<s:int,e:int>>) as got), (z, x) -> struct(z.pos + x.gap + x.long as pos, concat(z.got, array(struct(z.pos + x.gap as s, z.pos + x.gap + x.long as e))) as got), z -> z.got),
-        h -> named_struct('s', h.s, 'e', h.e, 'rank', r.rank, 'label', r.label))))""".replace("RULES", table)
+    pieces = "zip_with(slice(split(norm, r.pattern, -1), 1, size(regexp_extract_all(norm, r.pattern, 0))), regexp_extract_all(norm, r.pattern, 0), (a, b) -> struct(length(a) as gap, length(b) as long))"
+    place = swept(pieces, "0", "z + x.gap + x.long", "struct(z + x.gap as s, z + x.gap + x.long as e)", "struct<s:int,e:int>")
+    spans = f"flatten(transform(filter({table}, r -> contains(norm, r.word)), r -> transform({place}, h -> named_struct('s', h.s, 'e', h.e, 'rank', r.rank, 'label', r.label))))"
     none = "cast(array() as array<struct<s:int,e:int,rank:int,label:string>>)"
     df = df.withColumn("gate", gate).withColumn("found", F.expr(f"if(gate, {spans}, {none})"))
-    df = df.withColumn("kept", F.expr("filter(found, a -> not exists(found, b -> b.s <= a.s and b.e >= a.e and (b.rank > a.rank or (b.rank = a.rank and b.e - b.s > a.e - a.s))))"))
+    # One sweep over hits by start, longest and highest first. z[k]: the furthest end so far of rank RANKS[k], and where
+    # the last span of that end began. A hit ends within an earlier one of higher rank, or a longer one of its own: suppressed.
+    ordered = "transform(array_sort(transform(found, x -> struct(x.s as s, -x.e as e, -x.rank as rank, x.label as label))), x -> struct(x.s as s, -x.e as e, -x.rank as rank, x.label as label))"
+    inside = " or ".join(f"(x.rank < {r} and z[{k}].e >= x.e) or (x.rank = {r} and (z[{k}].e > x.e or z[{k}].e = x.e and z[{k}].s < x.s))" for k, r in enumerate(RANKS))
+    step = "array(" + ", ".join(f"if(x.rank = {r} and x.e > z[{k}].e, struct(x.e as e, x.s as s), z[{k}])" for k, r in enumerate(RANKS)) + ")"
+    sweep = swept(ordered, "array_repeat(struct(-1 as e, -1 as s), %d)" % len(RANKS), step, f"struct(x.s as s, x.e as e, x.label as label, ({inside}) as gone)", "struct<s:int,e:int,label:string,gone:boolean>")
+    df = df.withColumn("kept", F.expr(f"filter({sweep}, x -> not x.gone)"))
     names = lambda e: F.array_join(F.array_sort(F.array_distinct(F.expr(e))), ",")
     return df.select(
         "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.expr("array_min(transform(base, x -> x.at))").alias("first_word"), F.expr("array_max(transform(base, x -> x.at))").alias("last_word"),

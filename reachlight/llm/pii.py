@@ -1,9 +1,11 @@
 """Format-preserving Feistel pseudonyms for validated numbers and dates, DataFrame functions only.
 
-Card numbers (Luhn), phone numbers, social security numbers, IPv4 addresses and ISO dates (1900-01-01 to 2079-06-06)
-are permuted under a key within their own format, so equal values stay equal across documents and valid values stay
-valid. Cards keep length and separators and get a fresh Luhn digit. E-mail addresses, which have no numeric domain,
-get a keyed local part. Cards are sought in every span of whole digit groups of a longer run. Null text stays null; texts without matches, empty and repeated ones are returned as they are.
+Card numbers (Luhn), phone numbers, social security numbers (issued areas, groups and serials), IPv4 addresses and ISO
+dates (1900-01-01 to 2079-06-06, which are 256 x 256 days; others are no hits) are permuted under a key within their own
+format, so equal values stay equal across documents, different ones differ and valid values stay valid. Phone numbers
+keep their country prefix, or without one the first digit. Cards keep length and separators and get a fresh Luhn digit. E-mail addresses, which have no numeric domain,
+get a keyed local part. Cards are sought in every span of whole digit groups of a longer run. Null text stays null, a null doc_id
+stays null; texts without matches, empty and repeated ones are returned as they are; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -77,8 +79,8 @@ def only(s: Column) -> Column:
 def kind_of(hit: Column) -> Column:
     full = lambda p: hit.rlike(f"^(?:{p})$")
     return (
-        F.when(hit.contains("@"), "email").when(full(DATE), F.when(F.try_to_date(hit, "yyyy-MM-dd").isNotNull(), "date"))
-        .when(full(SSN), "ssn").when(full(IP), "ip").when(full(CARD) & (luhn_sum(only(hit), 1) % 10 == 0), "card").when(full(PHONE), "phone")
+        F.when(hit.contains("@"), "email").when(full(DATE), F.when(F.try_to_date(hit, "yyyy-MM-dd").between(F.lit("1900-01-01").cast("date"), F.lit("2079-06-06").cast("date")), "date"))
+        .when(full(SSN), F.when(hit.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"), "ssn")).when(full(IP), "ip").when(full(CARD) & (luhn_sum(only(hit), 1) % 10 == 0), "card").when(full(PHONE), "phone")
     )
 
 
@@ -110,6 +112,10 @@ def parts(hit: Column) -> Column:
     return F.when(hit.rlike(f"^(?:{RUN})$") & hit.rlike("[ -]"), tied(groups, lambda g: tied(cards(g), lambda c: cut(g, c)))).otherwise(F.array(hit))
 
 
+def full_local(hit: Column) -> Column:
+    return hit.rlike(f"^(?:{LOCAL})$")
+
+
 def pseudonym(hit: Column, kind: Column, key: str) -> Column:
     day = F.datediff(F.try_to_date(hit, "yyyy-MM-dd"), F.lit("1900-01-01").cast("date")).cast("long")
     two = F.lit(256).cast("long")
@@ -119,14 +125,23 @@ def pseudonym(hit: Column, kind: Column, key: str) -> Column:
     ip = tied(feistel(octet(1) * 256 + octet(2), octet(3) * 256 + octet(4), wide, wide, key, F.lit("ip")), lambda p: F.concat_ws(".", *(x.cast("string") for x in (F.floor(p["a"] / 256), p["a"] % 256, F.floor(p["b"] / 256), p["b"] % 256))))
     body = permute_digits(F.substring(only(hit), F.lit(1), F.length(only(hit)) - 1), key, "card")
     card = tied(body, lambda b: F.concat(b, ((10 - luhn_sum(b, 0) % 10) % 10).cast("string")))
+    # Areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999.
+    area = F.substring(hit, 1, 3).cast("long")
+    rest = (F.substring(hit, 5, 2).cast("long") - 1) * 9999 + F.substring(hit, 8, 4).cast("long") - 1
+    number = lambda p: F.format_string("%03d-%02d-%04d", p["a"] + 1 + (p["a"] >= 665).cast("long"), F.floor(p["b"] / 9999) + 1, p["b"] % 9999 + 1)
+    ssn = tied(feistel(area - 1 - (area > 666).cast("long"), rest, F.lit(898).cast("long"), F.lit(99 * 9999).cast("long"), key, F.lit("ssn")), number)
+    # A country prefix stays; else the first digit, which tells valid area codes.
+    lead = F.regexp_extract(hit, r"^\+?([0-9]{1,3})(?![0-9])", 1)
+    held = F.when(full_local(hit), 1).when(F.length(lead) > 0, F.length(lead)).otherwise(2)
+    phone = F.concat(F.substring(only(hit), F.lit(1), held), permute_digits(F.substring(only(hit), held + 1, F.length(only(hit))), key, "phone"))
     mail = F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("mail"), F.lower(hit)), 256), 1, 12), F.lit("@"), F.substring_index(hit, "@", -1))
     return (
-        F.when(kind == "date", date).when(kind == "ip", ip).when(kind == "card", refill(hit, card)).when(kind == "ssn", refill(hit, permute_digits(only(hit), key, "ssn")))
-        .when(kind == "phone", refill(hit, permute_digits(only(hit), key, "phone"))).when(kind == "email", mail).otherwise(hit)
+        F.when(kind == "date", date).when(kind == "ip", ip).when(kind == "card", refill(hit, card)).when(kind == "ssn", ssn)
+        .when(kind == "phone", refill(hit, phone)).when(kind == "email", mail).otherwise(hit)
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = "pseudonym-key-1") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text with pseudonyms, n_found, kinds."""
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     df = df.withColumn("hits", F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1))).otherwise(F.array().cast("array<string>")))

@@ -1,7 +1,9 @@
 """URL filters: a trie over reversed host labels, then path segments; the longest match wins.
 
 A null url, or one without "://", has an empty host and path and is allowed with a null rule, as is any url that no
-rule fits. Equal rules: the block entry wins. Repeated urls repeat; extra columns are ignored.
+rule fits. Longest means most characters of host and path together, then of host; of equal rules the block entry wins.
+A trie holds at most MOST_RULES rules, since it is broadcast; more raise an error. Repeated urls repeat, a null page_id
+stays null; extra columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ class Trie:
             *whole, rest = path.split("/")
             for part in whole:
                 node = node[1].setdefault(part, [{}, {}, []])
-            node[2].append((len(host), len(path), verdict == "block", rest, f"{host}{path}", verdict))
+            node[2].append((len(host) + len(path), len(host), verdict == "block", rest, f"{host}{path}", verdict))
 
     def judge(self, host: str, path: str):
         found, node, parts = [], self.root, path.split("/")

@@ -64,7 +64,7 @@ def test_toxicity(spark):
 
 
 def test_pii(docs):
-    a = {r.doc_id: r for r in pii.pseudonymise(docs).collect()}
+    a = {r.doc_id: r for r in pii.pseudonymise(docs, "k").collect()}
     card = re.search(r"\d{4} \d{4} \d{4} \d{4}", a[2].text)
     assert card and "4539 1488" not in a[2].text and a[0].text is None and a[4].text == LONG and a[2].kinds == "card"
 

@@ -10,7 +10,7 @@ CARD = "4539 1488 0343 6467"
 def test_cards_beside_numbers(spark):
     bare = CARD.replace(" ", "")
     texts = [CARD, f"5 {bare}", f"id 12 {CARD}.", f"{CARD} 12", f"{bare} 42", f"7 8 {bare} 2020-01-31 {CARD} 9 x", "1 2 3 4 5 6 7 8 9 1 2 3 4 x", f"{CARD} 12-34-x", " ".join(["17"] * 300) + f" {CARD}"]
-    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
     new = got[0].text
     plain = new.replace(" ", "")
     assert new != CARD and re.fullmatch(r"\d{4} \d{4} \d{4} \d{4}", new)
@@ -21,5 +21,5 @@ def test_cards_beside_numbers(spark):
 
 def test_local_phones(spark):
     texts = ["call (555) 123-4567 now", "555-123-4567", "155-123-4567", "078-05-1120"]
-    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
     assert [got[k].kinds for k in range(4)] == ["phone", "phone", "", "ssn"] and "123-4567" not in got[0].text + got[1].text

@@ -26,7 +26,7 @@ from .common import cut as stored, ship
 
 #: GAP: units between two of one block that may differ, plus 1. HEAVY: a key with more rows is dealt over SALTS tasks.
 MIN_BLOCK, GAP, SALTS, HEAVY = 30, 3, 64, 500
-ends = re.compile(r"[.!?](?=\s)[ \t]*\n?|[。！？][ \t]*\n?|\n").finditer
+ends = re.compile(r"[.!?](?=[ \t\n])[ \t]*\n?|[。！？][ \t]*\n?|\n").finditer
 content = re.compile(r"[^\W_]").search
 dense = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]").findall
 
@@ -38,10 +38,16 @@ def units(text: str) -> list[str]:
 
 
 def hashes(text: str) -> tuple[list[int], list[int]]:
-    """Hash and number of words of each unit with a letter or digit."""
+    """Hash and number of words of each unit with a letter or digit, in the order of `units`."""
     lines, many, low = [], [], text.lower()
     plain = low.isascii()
-    for u in units(low):
+    for mark in ".!?":
+        for gap in " \t":
+            low = low.replace(mark + gap, mark + "\n")
+    if not plain:
+        for mark in "。！？":
+            low = low.replace(mark, mark + "\n")
+    for u in low.split("\n"):
         w = u.split()
         if w and (w[0][0].isalnum() or content(u)):
             lines.append(xxhash.xxh64_intdigest(" ".join(w)) - (1 << 63) or 1)
@@ -63,39 +69,47 @@ def patience(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def blocks(own: dict, other: dict) -> list[int]:
-    """Places to delete: aligned units in blocks of MIN_BLOCK words. own: place -> (line, words), other: place -> line.
+def blocks(line: np.ndarray, pos: np.ndarray, words: np.ndarray, other: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places (of pos) to delete: aligned units in blocks of MIN_BLOCK words. other, at: the earlier document's lines and places.
 
     The first places of common lines are aligned, then equal neighbours of aligned units, so repeated lines go too.
     """
-    first, mine = {}, {}
-    for b, x in sorted(other.items(), reverse=True):
-        first[x] = b
-    for a, (x, _) in sorted(own.items(), reverse=True):
-        if x in first:
-            mine[x] = a
-    if sum(n for x, n in own.values() if x in first) < MIN_BLOCK:
-        return []
-    fixed, run, low = patience(sorted((a, first[x]) for x, a in mine.items())), [], (-1, -1)
-    for k, (a, b) in enumerate(fixed):
-        back, (p, q) = [], (a - 1, b - 1)
-        while p > low[0] and q > low[1] and p in own and own[p][0] == other.get(q):
-            back.append((p, q))
-            p, q = p - 1, q - 1
-        run += [*back[::-1], (a, b)]
-        end, (p, q) = fixed[k + 1] if k + 1 < len(fixed) else (1 << 60, 1 << 60), (a + 1, b + 1)
-        while p < end[0] and q < end[1] and p in own and own[p][0] == other.get(q):
-            run.append((p, q))
-            p, q = p + 1, q + 1
-        low = run[-1]
-    gone, block = [], []
-    for a, b in [*run, (1 << 60, 1 << 60)]:
-        if block and not (0 < a - block[-1][0] <= GAP and 0 < b - block[-1][1] <= GAP):
-            if sum(own[x][1] for x, _ in block) >= MIN_BLOCK:
-                gone += [x for x, _ in block]
-            block = []
-        block.append((a, b))
-    return gone
+    none = pos[:0]
+    mine, i = np.unique(line, return_index=True)
+    theirs, j = np.unique(other, return_index=True)
+    _, x, y = np.intersect1d(mine, theirs, assume_unique=True, return_indices=True)
+    if words[np.isin(line, theirs)].sum() < MIN_BLOCK:
+        return none
+    order = np.argsort(i[x])
+    x, y = i[x][order], j[y][order]
+    if (np.diff(y) < 0).any():
+        x, y = map(np.array, zip(*patience(list(zip(x.tolist(), y.tolist())))))
+    if len(mine) < len(line) or len(theirs) < len(other):
+        x, y = spread(line, pos, other, at, x.tolist(), y.tolist())
+    a, b = pos[x], at[y]
+    # A block goes on over GAP - 1 units that differ.
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(a) > GAP) | (np.diff(b) > GAP)]))
+    size = np.add.reduceat(words[x], first)
+    return a[np.repeat(size >= MIN_BLOCK, np.diff([*first, len(a)]))]
+
+
+def spread(line: np.ndarray, pos: np.ndarray, other: np.ndarray, at: np.ndarray, x: list, y: list) -> tuple[np.ndarray, np.ndarray]:
+    """The aligned units with the equal neighbours before and behind each of them."""
+    line, pos, other, at = line.tolist(), pos.tolist(), other.tolist(), at.tolist()
+    same = lambda p, q, a, b, d: line[p] == other[q] and pos[p] == a + d and at[q] == b + d
+    out, low = [], (-1, -1)
+    for k, (p, q) in enumerate(zip(x, y)):
+        back, d = [], 1
+        while p - d > low[0] and q - d > low[1] and same(p - d, q - d, pos[p], at[q], -d):
+            back.append((p - d, q - d))
+            d += 1
+        out += [*back[::-1], (p, q)]
+        end, d = (x[k + 1], y[k + 1]) if k + 1 < len(x) else (len(line), len(other)), 1
+        while p + d < end[0] and q + d < end[1] and same(p + d, q + d, pos[p], at[q], d):
+            out.append((p + d, q + d))
+            d += 1
+        low = out[-1]
+    return tuple(np.array(c) for c in zip(*out))
 
 
 def slices(batches, rows: int = 500):
@@ -145,28 +159,47 @@ def lists(batch, name: str):
         yield {f: x[a:b] for f, x in fields.items()}
 
 
+#: Odd, so that powers can be divided out modulo 2**64.
+BASE, BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
 def runs(batches):
     """doc_id, run, pos, last: the shortest runs of shared units from and up to each place; run 0: partners by single units (pos: partner)."""
+    up, down = powers(BASE, 1024), powers(BACK, 1024)
     for batch in slices(batches):
-        cols = [[], [], [], []]
+        out = []
         for i, x in zip(batch.column("doc_id").to_pylist(), lists(batch, "rows")):
             order = np.argsort(x["pos"], kind="stable")
             line, pos, words = x["line"][order], x["pos"][order], x["words"][order]
+            n = len(pos)
+            if n > len(up):
+                up, down = powers(BASE, 2 * n), powers(BACK, 2 * n)
             top, near = np.concatenate([[0], np.cumsum(words)]), np.concatenate([np.diff(pos) <= GAP, [False]])
             broken = np.flatnonzero(~near)
-            stop = broken[np.searchsorted(broken, np.arange(len(pos)))]
-            place = np.arange(len(pos))
+            stop = broken[np.searchsorted(broken, np.arange(n))]
+            place = np.arange(n)
             last, start = np.searchsorted(top, top[:-1] + MIN_BLOCK) - 1, np.searchsorted(top, top[1:] - MIN_BLOCK, "right") - 1
             ahead, behind = last <= stop, start >= 0
             behind[behind] = stop[start[behind]] >= place[behind]
-            for a, b in {*zip(place[ahead].tolist(), last[ahead].tolist()), *zip(start[behind].tolist(), place[behind].tolist())}:
-                for c, v in zip(cols, (i, xxhash.xxh64_intdigest(line[a : b + 1].tobytes()) - (1 << 63) or 1, a, b)):
-                    c.append(v)
+            both = np.unique(np.concatenate([place[ahead] * n + last[ahead], start[behind] * n + place[behind]]))
+            a, b = both // max(n, 1), both % max(n, 1)
+            # The run's lines as a polynomial, from prefix sums.
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(line.view(np.uint64) * up[:n], dtype=np.uint64)])
+            run = (total[b + 1] - total[a]) * down[a]
+            run = ((run ^ (run >> np.uint64(29))) * np.uint64(BASE) + (b - a).astype(np.uint64)).view(np.int64)
+            run[run == 0] = 1
             who, which = np.unique(x["anchor"], return_inverse=True)
-            for a in who[(np.bincount(which, x["words"]) >= MIN_BLOCK) & (who < i)].tolist():
-                for c, v in zip(cols, (i, 0, a, 0)):
-                    c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "run", "pos", "last"])
+            who = who[(np.bincount(which, x["words"]) >= MIN_BLOCK) & (who < i)]
+            none = np.zeros(len(who), np.int64)
+            out.append((np.full(len(a) + len(who), i), np.concatenate([run, none]), np.concatenate([a, who]), np.concatenate([b, none])))
+        cols = [np.concatenate([o[c] for o in out] + [np.zeros(0, np.int64)]).astype(np.int64) for c in range(4)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc_id", "run", "pos", "last"])
 
 
 def align(batches):
@@ -174,8 +207,9 @@ def align(batches):
     for batch in slices(batches):
         ids, out = [], []
         for i, x, y in zip(batch.column("doc_id").to_pylist(), lists(batch, "rows"), lists(batch, "others")):
-            own = dict(zip(x["pos"].tolist(), zip(x["line"].tolist(), x["words"].tolist())))
-            if gone := blocks(own, dict(zip(y["pos"].tolist(), y["line"].tolist()))):
+            p, q = np.argsort(x["pos"], kind="stable"), np.argsort(y["pos"], kind="stable")
+            gone = blocks(x["line"][p], x["pos"][p], x["words"][p], y["line"][q], y["pos"][q])
+            if len(gone):
                 ids.append(i)
                 out.append(gone)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["_id", "_part"])
@@ -196,7 +230,7 @@ def deletions(docs: DataFrame) -> DataFrame:
     # Runs count shared units; their places are looked up in the document's list.
     spans = hits.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "last")).alias("spans")).join(shared, "doc_id").select("doc_id", "rows", "spans")
 
-    def spread(batches):
+    def covered(batches):
         for batch in slices(batches):
             ids, out = [], []
             for i, x, s in zip(batch.column("doc_id").to_pylist(), lists(batch, "rows"), lists(batch, "spans")):
@@ -207,7 +241,7 @@ def deletions(docs: DataFrame) -> DataFrame:
                 out.append(np.sort(x["pos"])[np.cumsum(step[:-1]) > 0])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["_id", "_part"])
 
-    parts = parts.unionAll(spans.mapInArrow(spread, "_id long, _part array<int>"))
+    parts = parts.unionAll(spans.mapInArrow(covered, "_id long, _part array<int>"))
     return parts.groupBy("_id").agg(F.array_distinct(F.flatten(F.collect_list("_part"))).alias("_gone"))
 
 

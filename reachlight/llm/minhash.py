@@ -3,7 +3,7 @@
 A document's set holds its distinct word shingles; texts with fewer words have their whole sequence as one shingle,
 texts without words an empty set that links with nothing. Rows with equal sets are one class, whatever their ids.
 Classes meet in buckets of band keys. Each is first compared with its bucket's most central class, then, while that
-merges components, with the most central one of another component; classes that are still in different components are
+merges components, with a few hashed members of that one's component and the most central class outside it; classes that are still in different components are
 compared within their buckets, each pair in its first common bucket only, so no link between components is lost.
 Candidates pass the packed b-bit estimate (bit counts, corrected for chance collisions) before links are confirmed on
 full sets, which travel once for each pair of blocks of a neighbourhood, not once for each pair of documents. Null text
@@ -18,19 +18,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import cut, ship
 
 #: Bands of ROWS minima give candidates; ESTIMATE minima of BITS bits each give estimates, for candidates alone.
-ROWS, BANDS, BITS, ESTIMATE = 4, 24, 4, 384
+ROWS, BANDS, BITS, ESTIMATE = 4, 24, 4, 512
 HASHES = ROWS * BANDS
 #: The estimate may fall short of the threshold by this much (five standard errors) before a candidate goes.
-MARGIN = 0.095
-#: Rounds against central classes before components are compared with each other.
-CENTRES = 3
+MARGIN = 0.083
+#: Rounds against a few members of the largest neighbours' component before components are compared with each other.
+TURNS, CENTRES = 3, 4
 #: Bytes and rows of one block of sets.
-BLOCK_BYTES, BLOCK_ROWS = 1 << 20, 512
+BLOCK_BYTES, BLOCK_ROWS = 1 << 20, 256
 _rng = np.random.default_rng(7)
 MULTS, MASKS = _rng.integers(1, 1 << 32, (ESTIMATE, 1), dtype=np.uint32) | np.uint32(1), _rng.integers(0, 1 << 32, (ESTIMATE, 1), dtype=np.uint32)
 U = np.uint64
@@ -170,13 +170,14 @@ def confirm(num: int, den: int):
     return run
 
 
+def block_pair(a: str, b: str) -> Column:
+    """One key for a pair of blocks (home and salt), whichever of the two comes first."""
+    x, y = (F.struct(F.col("home" + s).alias("home"), F.col("salt" + s).alias("salt")) for s in (a, b))
+    return F.xxhash64(F.least(x, y), F.greatest(x, y)).alias("at")
+
+
 def confirmed(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
-    """Links among estimated pairs (a, b) that span the pairs' components; full: rep, shingles, home, salt."""
-    at = full.select("rep", "home", "salt")
-    x, y = (at.select(F.col("rep").alias(s), F.struct("home", "salt").alias("_" + s)) for s in "ab")
-    pairs = pairs.join(x, "a").join(y, "b")
-    # A pair of blocks, whichever of the two comes first.
-    pairs = pairs.select("a", "b", F.xxhash64(F.least("_a", "_b"), F.greatest("_a", "_b")).alias("at"))
+    """Links among estimated pairs (a, b, at) that span the pairs' components; full: rep and shingles."""
     used = pairs.select(F.col("at").alias("of"), F.col("a").alias("rep")).union(pairs.select("at", "b")).distinct()
     return pairs.groupBy("at").cogroup(used.join(full.select("rep", "shingles"), "rep").groupBy("of")).applyInPandas(confirm(num, den), "a long, b long")
 
@@ -242,31 +243,39 @@ def classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Dat
     full = cut(full.join(size, "home").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("blocks"))).drop("blocks"))
     least = num / den - MARGIN
 
+    side = lambda rows, s, names: rows.select(*(F.col(c).alias(c + s) for c in names))
+    about = ("rep", "n", "planes", "home", "salt")
+
     def estimated(pairs: DataFrame) -> DataFrame:
-        x, y = (full.select(F.col("rep").alias(s), F.col("n").alias("n" + s), F.col("planes").alias("x" + s)) for s in "ab")
-        near = pairs.join(x, "a").join(y, "b").where(f"{den} * least(na, nb) >= {num} * greatest(na, nb) and {similar('xa', 'xb')} >= {least}")
-        return cut(near.select("a", "b"))
+        near = pairs.join(side(full, "x", about), F.col("a") == F.col("repx")).join(side(full, "y", about), F.col("b") == F.col("repy"))
+        near = near.where(f"{den} * least(nx, ny) >= {num} * greatest(nx, ny) and {similar('planesx', 'planesy')} >= {least}")
+        return cut(near.select("a", "b", block_pair("x", "y")))
 
     pairs = star.select(F.col("rep").alias("a"), F.col("c.rep").alias("b")).where("a <> b").distinct()
     roots = merged(None, cut(confirmed(estimated(pairs), full, num, den)))
     open_ = cut(mixed(slots, roots))
-    for _ in range(CENTRES):
-        # The most central class outside the component of the bucket's own centre, against all others of other components.
-        first = open_.groupBy("key").agg(F.max_by("root", F.struct("weight", "rep")).alias("main"))
-        other = open_.join(first, "key").where("root <> main").groupBy("key").agg(F.max(F.struct("weight", "rep", "root")).alias("c"))
-        pairs = open_.join(other, "key").where("root <> c.root").select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
+    for turn in range(TURNS):
+        # In each bucket some members of the centre's component and the most central one of another, against all others
+        # of other components.
+        main = open_.groupBy("key").agg(F.max_by("root", F.struct("weight", "rep")).alias("main"))
+        of = open_.join(main, "key")
+        some = of.where("root = main").groupBy("key").agg(F.array_distinct(F.array(*(F.min_by(F.struct("rep", "root"), F.xxhash64("rep", F.lit(turn * CENTRES + c))) for c in range(CENTRES)))).alias("some"))
+        other = of.where("root <> main").groupBy("key").agg(F.max(F.struct("weight", "rep", "root")).alias("c"))
+        met = open_.join(some.join(other, "key"), "key").withColumn("c", F.explode(F.concat("some", F.array(F.struct("c.rep", "c.root")))))
+        pairs = met.where("root <> c.root").select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
         links = cut(confirmed(estimated(pairs), full, num, den))
         if links.isEmpty():
             break
         roots = merged(roots, links)
         open_ = cut(mixed(open_.drop("root"), roots))
     # What is left is compared across components, each pair in its first common bucket.
-    rest = open_.select("key", "band", "rep", "root").join(full.select("rep", "n", "planes"), "rep").join(reps.select("rep", "bands"), "rep")
+    rest = open_.select("key", "band", "rep", "root").join(full.select(*about), "rep").join(reps.select("rep", "bands"), "rep")
     rest = cut(rest)
-    l, r = (rest.select("key", *(F.col(c).alias(c + s) for c in ("rep", "root", "n", "planes", "bands")), *([F.col("band")] if s == "x" else [])) for s in "xy")
-    first = "array_position(zip_with(bandsx, bandsy, (p, q) -> p = q), true) = band + 1"
+    l, r = side(rest, "x", ("key", "band", "root", "bands", *about)), side(rest, "y", ("key", "root", "bands", *about))
+    first = "array_position(zip_with(bandsx, bandsy, (p, q) -> p = q), true) = bandx + 1"
     near = f"repx < repy and rootx <> rooty and {den} * least(nx, ny) >= {num} * greatest(nx, ny) and {similar('planesx', 'planesy')} >= {least} and {first}"
-    links = cut(confirmed(cut(l.join(r, "key").where(near).select(F.col("repx").alias("a"), F.col("repy").alias("b"))), full, num, den))
+    pairs = l.join(r, F.col("keyx") == F.col("keyy")).where(near)
+    links = cut(confirmed(cut(pairs.select(F.col("repx").alias("a"), F.col("repy").alias("b"), block_pair("x", "y"))), full, num, den))
     return rows, roots if links.isEmpty() else merged(roots, links)
 
 

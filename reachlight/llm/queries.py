@@ -22,7 +22,7 @@ QUERIES = {
     "op5_toxicity": lambda s, d: toxicity.score(t := table(s, d, "documents"), toxicity.train(t, table(s, d, "labels"))),
     "op6_pii": lambda s, d: pii.pseudonymise(table(s, d, "documents"), PII_KEY),
     "op7_minhash": lambda s, d: minhash.near_components(table(s, d, "documents")),
-    "op8_sharding": lambda s, d: sharding.shard(table(s, d, "documents")),
+    "op8_sharding": lambda s, d: sharding.shard(table(s, d, "documents"), law="bytes"),
     "op9_url_filter": lambda s, d: url_filter.filter_urls(table(s, d, "pages")),
     "op10_topk": lambda s, d: topk.top_k(table(s, d, "embeddings")),
 }

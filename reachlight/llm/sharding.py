@@ -90,7 +90,7 @@ def load_map(spark, path: str, version: int | None = None) -> dict:
     return {"version": version, "shards": rows[0].shards, "slots": [r.shard for r in sorted(rows, key=lambda r: r.virtual_slot)]}
 
 
-def shard(docs: DataFrame, shards: int = 8, law: str = "bytes", path: str | None = None) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, law: str = "key", path: str | None = None) -> DataFrame:
     """Each row's shard, its place there (slot, gapless from 0) and, under law `key`, its shard after growth by one.
 
     The map's versions are stored under path (by default a new folder): 1 as dealt, 2 as rebalanced or grown."""

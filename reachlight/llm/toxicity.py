@@ -36,6 +36,8 @@ STEMS, MOST_STEMS = range(4, 8), 400
 #: A beginning votes if at least so many training rows with label 1 have it, and so much of its rows.
 LEAST_ROWS, LEAST_SHARE = 4, 0.9
 RIDGE = 0.02
+#: Weight of a lexicon word before any data.
+PRIOR = 2.0
 words_of = re.compile(r"\w+").findall
 
 
@@ -68,14 +70,15 @@ def label_model(V: np.ndarray, rounds: int = 30) -> np.ndarray:
     return post
 
 
-def logistic(X: np.ndarray, target: np.ndarray, ridge: float) -> tuple[np.ndarray, float]:
-    """Weights and bias by Newton steps; targets may be probabilities."""
+def logistic(X: np.ndarray, target: np.ndarray, ridge: float, prior: np.ndarray | float = 0.0) -> tuple[np.ndarray, float]:
+    """Weights, drawn towards prior, and bias by Newton steps; targets may be probabilities."""
     Z = np.column_stack([X, np.ones(len(X))])
     w, R = np.zeros(Z.shape[1]), ridge * np.eye(Z.shape[1])
+    prior = np.append(np.broadcast_to(prior, X.shape[1]), 0.0)
     R[-1, -1] = 1e-6
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(Z @ w, -30, 30)))
-        step = np.linalg.solve((Z * np.maximum(p * (1 - p), 1e-4)[:, None]).T @ Z + R, Z.T @ (target - p) - R @ w)
+        step = np.linalg.solve((Z * np.maximum(p * (1 - p), 1e-4)[:, None]).T @ Z + R, Z.T @ (target - p) - R @ (w - prior))
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
@@ -113,7 +116,8 @@ class Model:
     def fit(self, X: np.ndarray, y: np.ndarray) -> None:
         votes = X[:, : self.n]
         post = label_model(votes[:, votes.sum(0) >= 2])
-        w, c = logistic(X, post, 1.0)
+        # What the sample cannot tell stays as the lexicon says.
+        w, c = logistic(X, post, 1.0, np.concatenate([np.full(len(WORDS), PRIOR), np.zeros(X.shape[1] - len(WORDS))]))
         # Calibration: one slope and bias by the labels.
         z = X @ w + c
         slope, bias = logistic(z[:, None], (y * y.sum() + y) / (y.sum() + 2) + (1 - y) / (len(y) - y.sum() + 2), 1e-3)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 def first_wins(df: DataFrame, key: str | list[str], order: str) -> DataFrame:
     """Insert-or-ignore: the first row of each key; rows equal in order are told apart by their hash. A null key is a key."""
     keys = [key] if isinstance(key, str) else key
-    by = Window.partitionBy(*keys).orderBy(order, F.xxhash64(*(F.to_json(F.struct(F.col(f"`{c}`"))) for c in df.columns)))
+    by = Window.partitionBy(*keys).orderBy(order, F.xxhash64(*(F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString())))
     return df.withColumn("__n", F.row_number().over(by)).where("__n = 1").drop("__n")
 
 

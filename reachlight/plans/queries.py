@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import scalars as S
-from ..operators import reach as R, spatial as G, tables as T
+from ..operators import listings as L, network as N, reach as R, shapes as P, spatial as G, tables as T, walk as W
+from ..streaming import events as V
 
 QUERIES, SQL = {}, {}
 
@@ -250,3 +251,141 @@ def json_explode(spark, d):
 @query(f"with {STOPS} select distinct cast(floor(lon / 0.01) as bigint) + i as cx, cast(floor(lat / 0.01) as bigint) + j as cy from stops, range(-1, 2) a(i), range(-1, 2) b(j)")
 def raster_union(spark, d):
     return G.ring(stops(spark, d), 0.01).select("cx", "cy").distinct()
+
+
+# Network loading, walks and shapes.
+STATIONS = "sta as (select s_suppkey as station_id, cast(s_suppkey % 7 as varchar) as railway_id from supplier), tt as (select stop_id as station_id, case when trip_id % 3 = 0 then 'SaturdayHoliday' else 'Weekday' end as calendar, cast(seq % 2 as varchar) as rail_direction, cast(trip_id % 500 as varchar) as train_number, case when seq % 5 > 0 then t end as dep_s from st)"
+
+
+@query(f"with {TIMES}, {STATIONS}, g as (select 'synth_' || railway_id || '_' || rail_direction || '_' || train_number as trip_id, station_id as stop_id, dep_s from tt join sta using (station_id) where calendar = 'Weekday' and dep_s is not null and railway_id not in ('0', '1', '2')), n as (select *, row_number() over (partition by trip_id order by dep_s, stop_id) - 1 as seq, count(*) over (partition by trip_id) as n from g) select trip_id, count(*) as n, min(dep_s) as first_t, max(dep_s) as last_t, cast(sum(seq * dep_s) as bigint) as in_order from n where n >= 2 group by 1")
+def trip_synthesis(spark, d):
+    stations = t(spark, d, "supplier").selectExpr("s_suppkey as station_id", "cast(s_suppkey % 7 as string) as railway_id")
+    times = stop_times(spark, d).selectExpr("stop_id as station_id", "case when trip_id % 3 = 0 then 'SaturdayHoliday' else 'Weekday' end as calendar", "cast(seq % 2 as string) as rail_direction", "cast(trip_id % 500 as string) as train_number", "case when seq % 5 > 0 then t end as dep_s")
+    heads = spark.createDataFrame([("0", "Weekday"), ("1", "Weekday"), ("2", "Weekday"), ("3", "SaturdayHoliday")], "railway_id string, calendar string")
+    return N.synthesised(stations, times, heads, "Weekday").groupBy("trip_id").agg(F.count("*").alias("n"), F.min("dep_s").alias("first_t"), F.max("dep_s").alias("last_t"), F.sum(F.col("seq") * F.col("dep_s")).alias("in_order"))
+
+
+@query(f"with {STOPS}, bus as (select c_custkey * 3 as id, c_acctbal as lat, 'bus' as kind from customer) select id, lat, 'rail' as kind from stops where id not in (select id from bus) union all select * from bus")
+def stops_override(spark, d):
+    rail = stops(spark, d).selectExpr("id", "lat", "'rail' as kind")
+    return N.overriding(rail, t(spark, d, "customer").selectExpr("c_custkey * 3 as id", "c_acctbal as lat", "'bus' as kind"), "id")
+
+
+@query(f"with {TIMES}, {ODD} select stop_id, dep_s, trip_id from od where dep_s is not null")
+def departures_sorted(spark, d):
+    return N.departure_index(odd_times(spark, d))
+
+
+@query(f"with {STOPS} select a.id as src, b.id as dst from stops a join stops b on a.id <> b.id and abs(cast(trunc(a.lon / 0.005::double) as bigint) - cast(trunc(b.lon / 0.005::double) as bigint)) <= 1 and abs(cast(trunc(a.lat / 0.005::double) as bigint) - cast(trunc(b.lat / 0.005::double) as bigint)) <= 1 and {DIST} <= 800")
+def walk_edges_coarse(spark, d):
+    s = stops(spark, d)
+    return G.within_coarse(s, s, 800.0).where("src <> dst").select("src", "dst")
+
+
+@query(f"with {STOPS} select id as stop_id, 30600 + cast(floor(sqrt(pow((lat - 35.7::double) * {S.LAT_M}::double, 2) + pow((lon - 139.7::double) * {S.LON_M!r}::double, 2)) / (5000 / 3600::double)) as bigint) as arr from stops where sqrt(pow((lat - 35.7::double) * {S.LAT_M}::double, 2) + pow((lon - 139.7::double) * {S.LON_M!r}::double, 2)) <= 9000")
+def access_stops(spark, d):
+    origin = spark.createDataFrame([(1, 35.7, 139.7)], "id int, lat double, lon double")
+    return R.access(origin, stops(spark, d), 30600, 9000.0).select("stop_id", F.floor("arr").alias("arr"))
+
+
+REACH60 = SSSP.replace("<= 40", "<= 60")
+
+
+@query(f"{REACH60}, s as (select * from (values (1::bigint, 0, true), (5, 5, false), (9, 10, false)) x(node, arr, own)), b as (select * from (values (30), (45), (60)) x(band)) select distinct band, e.u, e.v from e join dd i on i.node = e.u join dd j on j.node = e.v and j.source = i.source join s on s.node = i.source, b where band - (case when own then 0 else arr end) >= 30 and greatest(i.dist, j.dist) <= band - (case when own then 0 else arr end)")
+def egress_marking(spark, d):
+    starts = spark.createDataFrame([("o", 1, 0.0, True), ("o", 5, 5.0, False), ("o", 9, 10.0, False)], "origin_id string, node long, arr double, is_origin boolean")
+    return W.egress_bands(edges(spark, d), starts, 0, [30, 45, 60], 3.6).select("band", "u", "v")
+
+
+@query(f"with recursive {EDGES}, {BOTH}, sn as (select s_suppkey as id, s_suppkey % 40 + 1 as node from supplier), w(source, node, dist) as (select distinct node, node, 0::bigint from sn union select w.source, b2.v, w.dist + b2.length from w join b2 on w.node = b2.u where w.dist + b2.length <= 20), dd as (select source, node, min(dist) as dist from w group by all) select a.id as src, b.id as dst, dist from dd join sn a on a.node = dd.source join sn b on b.node = dd.node where a.id <> b.id")
+def walk_neighbours(spark, d):
+    snaps = t(spark, d, "supplier").selectExpr("s_suppkey as id", "s_suppkey % 40 + 1 as node")
+    return W.neighbours(W.both_ways(edges(spark, d)), snaps, 20, 3.6).select("src", "dst", F.round("walk_s").cast("long").alias("dist"))
+
+
+@query(f"with {STOPS} select a.id, cast(round(2 * 6371009 * asin(sqrt(pow(sin(radians(35.7::double - lat) / 2), 2) + cos(radians(lat)) * cos(radians(35.7::double)) * pow(sin(radians(139.7::double - lon) / 2), 2)))) as bigint) as metres from stops a")
+def great_circle(spark, d):
+    return stops(spark, d).select("id", F.round(S.great_circle_m(F.col("lat"), F.col("lon"), F.lit(35.7), F.lit(139.7))).cast("long").alias("metres"))
+
+
+@query(f"with {STOPS}, c as (select lat, lon, unnest(range(cast(floor((lon - 0.01::double) * {S.LON_M!r}::double / 200) as bigint), cast(floor((lon + 0.01::double) * {S.LON_M!r}::double / 200) as bigint) + 1)) as cx from stops), k as (select *, unnest(range(cast(floor((lat - 0.01::double) * {S.LAT_M}::double / 200) as bigint), cast(floor((lat + 0.01::double) * {S.LAT_M}::double / 200) as bigint) + 1)) as cy from c) select distinct cx, cy from k where ((cx + 0.5::double) * 200 / {S.LON_M!r}::double - lon) * ((cx + 0.5::double) * 200 / {S.LON_M!r}::double - lon) + ((cy + 0.5::double) * 200 / {S.LAT_M}::double - lat) * ((cy + 0.5::double) * 200 / {S.LAT_M}::double - lat) <= 0.01::double * 0.01::double")
+def circle_cover(spark, d):
+    rows = stops(spark, d).selectExpr("'o' as origin_id", "1 as band", "lon as x", "lat as y", "0.01D as r")
+    return P.circle_cells(rows, 200.0).select("cx", "cy")
+
+
+def isochrone_bands(spark, d):
+    """Features of one stop's bands, by circles: no SQL; tests hold shapes against brute force."""
+    s = stops(spark, d)
+    net = N.Network(s.withColumn("kind", F.lit("rail")), stop_times(spark, d), R.cut(walks(spark, d)))
+    return P.isochrones(net, s.where("id = 7"), 30600, [1200, 2400, 3600], max_walk_m=3000.0, cell_m=20.0)
+
+
+QUERIES["isochrone_bands"] = isochrone_bands
+
+
+# Listing texts and lifecycle.
+@query("select p_partkey, p_size * 10000 + p_partkey as low_price, p_partkey * 125 // 10 as fee, '東京都' as prefecture, 'N' || p_size || '市' as city, 'T' || p_partkey as town, 'RC造' as structure, p_size as units, 2020 - (1950 + p_size) as age from part")
+def listing_texts(spark, d):
+    p = t(spark, d, "part")
+    at = S.address_parts(F.expr("concat('東京都N', p_size, '市T', p_partkey)"), F.lit(13))
+    return p.select("p_partkey", S.price_man(F.expr("concat('価格 ', p_size, '億 ', format_number(p_partkey, 0), '万円〜', p_size + 1, '億円')")).alias("low_price"), S.monthly_fee(F.expr("concat(cast(p_partkey * 125 as decimal(18, 0)) / 100000, '万円')")).alias("fee"), at["prefecture"].alias("prefecture"), at["city"].alias("city"), at["town"].alias("town"), S.structure(F.lit("RC造10階建")).alias("structure"), S.first_integer(F.expr("concat('全', p_size, '戸')")).alias("units"), S.building_age(F.expr("concat(1950 + p_size, '年8月')"), 2020).alias("age"))
+
+
+@query("select p_partkey, sha256('A' || p_partkey || '|' || p_size || '|' || printf('%.1f', p_retailprice / 7) || '||mansion') as content_hash from part")
+def listing_hash(spark, d):
+    return t(spark, d, "part").select("p_partkey", S.listing_hash(F.expr("concat('A', p_partkey)"), F.col("p_size"), F.col("p_retailprice") / 7, F.lit(None).cast("string"), F.lit("mansion")).alias("content_hash"))
+
+
+@query("select p_partkey, unnest(range(10, p_size + 1, 10))::int as band from part")
+def band_series(spark, d):
+    return t(spark, d, "part").select("p_partkey", F.explode(S.bands(F.lit(10), F.col("p_size"))).alias("band"))
+
+
+@query("select c_custkey, c_custkey % 2 = 0 and c_custkey % 3 > 0 as seen, case when c_custkey % 2 = 0 and c_custkey % 3 > 0 then 'active' else 'delisted' end as status, case when c_custkey % 5 = 0 and c_custkey % 2 = 1 then 0 when c_custkey % 2 = 0 and c_custkey % 3 > 0 then -1 else 1 end as gone from customer")
+def delist(spark, d):
+    c = t(spark, d, "customer")
+    old = "2020-01-01 00:00:00"
+    snap = c.selectExpr("c_custkey", "cast(if(c_custkey % 2 = 0 and c_custkey % 3 > 0, 2, 1) as long) as crawl_cycle_id", "if(c_custkey % 5 = 0 and c_custkey % 2 = 1, 'delisted', 'active') as status", f"if(c_custkey % 5 = 0 and c_custkey % 2 = 1, timestamp'{old}', null) as delisted_at", "cast(null as timestamp) as updated_at")
+    got = L.delist(snap, 2, "2021-01-01 00:00:00")
+    return got.selectExpr("c_custkey", "crawl_cycle_id = 2 as seen", "status", f"case when delisted_at = timestamp'{old}' then 0 when delisted_at is not null then 1 else -1 end as gone")
+
+
+@query("select c_custkey, case when c_custkey % 2 = 0 or c_custkey % 5 = 0 then c_mktsegment when c_custkey % 3 = 0 then 'filled' else c_mktsegment end as direction, case when c_custkey % 2 = 1 and c_custkey % 5 > 0 and c_custkey % 4 = 0 then 9 else c_custkey % 4 end as total_units, c_custkey % 5 > 0 as fetched from (select c_custkey, case when c_custkey % 3 = 0 then '' else c_mktsegment end as c_mktsegment from customer)")
+def fill_if_missing(spark, d):
+    c = t(spark, d, "customer").selectExpr("c_custkey", "if(c_custkey % 2 = 1, 'mansion', 'kodate') as listing_type", "concat('u', c_custkey) as url", "if(c_custkey % 3 = 0, '', c_mktsegment) as direction", "c_custkey % 4 as total_units", "1L as crawl_cycle_id", "cast(null as timestamp) as detail_fetched_at")
+    details = c.where("c_custkey % 5 > 0").selectExpr("url", "'filled' as direction", "9L as total_units")
+    got, _ = L.enrich(c, details, 1, "2021-01-01 00:00:00")
+    return got.selectExpr("c_custkey", "direction", "total_units", "detail_fetched_at is not null as fetched")
+
+
+@query("with a as (select distinct case when c_custkey % 50 = 0 then '' else 'A' || c_custkey % 50 end as address from customer) select address, case when address = '' then 'skip' when cast(substr(address, 2) as int) < 20 then 'cache' else 'api' end as source, case when address <> '' then cast(substr(address, 2) as double) end as latitude from a")
+def geocode_cache(spark, d):
+    a = t(spark, d, "customer").selectExpr("if(c_custkey % 50 = 0, null, concat('A', c_custkey % 50)) as address")
+    known = spark.range(1, 20).selectExpr("concat('A', id) as address", "cast(id as double) as latitude", "0D as longitude", "current_timestamp() as created_at")
+    got, _ = L.geocoded(a, known, lambda m: m.selectExpr("address", "cast(substr(address, 2) as double) as latitude", "0D as longitude"))
+    return got.select("address", "source", "latitude")
+
+
+@query("with o as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as n from orders), p as (select *, n // 3 as page from o) select o_custkey, o_orderkey from p where page * 3 < 7")
+def page_caps(spark, d):
+    o = t(spark, d, "orders").select("o_custkey", "o_orderkey").withColumn("page", F.floor((F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1) / 3))
+    return L.page_caps(o, ["o_custkey"], max_items=7).select("o_custkey", "o_orderkey")
+
+
+@query("with k as (select o_custkey, min(o_orderkey) as o_orderkey from orders where o_orderstatus = 'F' group by 1), n as (select o_custkey, min(o_orderkey) as o_orderkey from orders where o_orderstatus = 'O' group by 1) select * from k union all select * from n where o_custkey not in (select o_custkey from k)")
+def insert_or_ignore(spark, d):
+    o = t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    have = T.first_wins(o.where("o_orderstatus = 'F'"), "o_custkey", "o_orderkey").drop("o_orderstatus")
+    return T.insert_or_ignore(have, o.where("o_orderstatus = 'O'").drop("o_orderstatus"), "o_custkey", "o_orderkey")
+
+
+@query("select event_type, count(*) as n, cast(sum(try_cast(json_extract_string(x, '$.k') as bigint)) as bigint) as k from (select event_type, unnest([props, '{\"k\": 1}', props]) as x from events) group by 1")
+def json_arrays(spark, d):
+    e = t(spark, d, "events").select("event_type", F.explode(F.from_json(F.concat(F.lit("["), F.coalesce("props", F.lit("{}")), F.lit(', {"k": 1}, '), F.coalesce("props", F.lit("{}")), F.lit("]")), "array<struct<k:bigint>>")).alias("x"))
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("x.k").alias("k"))
+
+
+@query("select date_trunc('hour', ts) as start, event_type, count(*) as n, cast(round(sum(value) * 100) as bigint) as cents from events group by all")
+def event_windows(spark, d):
+    return V.counted(t(spark, d, "events")).select("start", "event_type", "n", F.round(F.col("total") * 100).cast("long").alias("cents"))

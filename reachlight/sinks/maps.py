@@ -98,7 +98,7 @@ def notice(kind: str, cycle: int, now: str = "", **x) -> str:
         t = x["total"]
         return f"📊 Cycle #{cycle} — *{name}* done\n  this: new={n('new')} upd={n('updated')} dup={n('duplicates')}\n  total: new={t.get('new', 0)} upd={t.get('updated', 0)} err={t.get('errors', 0)}"
     if kind == "completed":
-        parts = [f"new={n('new')}", f"updated={n('updated')}", f"delisted={x.get('delisted', 0)}"] + [f"detail pages={s['details_fetched']}"] * bool(n("details_fetched")) + [f"errors={s.get('errors')}"] * (n("errors") > 0)
+        parts = [f"new={n('new')}", f"updated={n('updated')}", f"delisted={x.get('delisted', 0)}"] + [f"{label}={n(k)}" for label, k in (("detail pages", "details_fetched"), ("errors", "errors")) if n(k)]
         return f"{'✅' if x['status'] == 'completed' else '⚠️'} *Crawl {x['status']}* — cycle #{cycle}\n{', '.join(parts)}\n{now}"
     if kind == "banned":
         return f"🚨 *BAN DETECTED* — cycle #{cycle} ABORTED\nFound {n('new')} listings before ban.\n*No existing data was modified.*\nCycle stays running for resume.\n{now}"

@@ -1 +1 @@
-
+"""Readers of files and of the web, and importers of transit data."""

@@ -1 +1 @@
-
+"""Streaming forms: listing cycles by micro-batches, windowed events."""

@@ -43,6 +43,9 @@ def ship(spark) -> None:
     """Sends this package to the workers once per application, so that they need no path of the driver's."""
     global _sent
     sc = spark.sparkContext
+    # Texts are long: Arrow batches of the usual 10,000 rows would hold tens of megabytes in each task, twice.
+    if int(spark.conf.get(BATCH)) > BATCH_ROWS:
+        spark.conf.set(BATCH, str(BATCH_ROWS))
     if _sent == sc.applicationId:
         return
     top = Path(__file__).resolve().parents[1]
@@ -55,3 +58,4 @@ def ship(spark) -> None:
 
 
 _sent = None
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000

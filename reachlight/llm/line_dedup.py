@@ -282,10 +282,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     def run(text: pd.Series, gone: pd.Series) -> pd.Series:
         return pd.Series([t if g is None or t is None else without(t, set(map(int, g))) for t, g in zip(text, gone)], dtype=object)
 
-    cut = F.pandas_udf(run, "string")
-    joined = rows.join(gone, F.col("__row") == F.col("_id"), "left")
-    done = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(cut("text", "_gone")))
-    done = done.where(F.col("_gone").isNull() | F.col("text").rlike(r"\S"))
+    # Only texts that lose units go to Python; the filter takes the result and does not compute it again.
+    cut = F.pandas_udf(run, "string").asNondeterministic()
+    joined = rows.join(gone.hint("shuffle_hash"), F.col("__row") == F.col("_id"), "left")
+    some = F.col("_gone").isNotNull()
+    done = joined.withColumn("__cut", cut(F.when(some, F.col("text")), "_gone")).withColumn("text", F.when(some, F.col("__cut")).otherwise(F.col("text"))).drop("__cut")
+    done = done.where(~some | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return done.select(*docs.columns)

@@ -218,8 +218,9 @@ def align(batches):
 def deletions(docs: DataFrame) -> DataFrame:
     """_id, _gone: the units that each later document loses."""
     shared = anchored(stored(occurrences(docs)), "line")
-    # A document's rows are no more than its units.
-    shared = stored(shared.groupBy("doc_id").agg(F.collect_list(F.struct("line", "pos", "words", "anchor")).alias("rows")))
+    # A document's rows are no more than its units. Fewer shared words than a block has give neither runs nor partners.
+    shared = shared.groupBy("doc_id").agg(F.collect_list(F.struct("line", "pos", "words", "anchor")).alias("rows"), F.sum("words").alias("total"))
+    shared = stored(shared.where(F.col("total") >= MIN_BLOCK).drop("total"))
     found = stored(shared.mapInArrow(runs, "doc_id long, run long, pos long, last long"))
     hits = stored(anchored(found.where("run <> 0"), "run").where("anchor < doc_id"))
     pairs = found.where("run = 0").selectExpr("doc_id", "pos as anchor").unionByName(hits.select("doc_id", "anchor")).distinct()

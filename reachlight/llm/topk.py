@@ -22,6 +22,8 @@ from .common import cut, ship
 
 #: Rows of a shard; rows that set the first threshold; bytes of queries in one block.
 SHARD, FIRST, BLOCK_BYTES = 2048, 256, 4_000_000
+#: One in so many pairs left makes probing cheaper than scoring all.
+SPARSE = 64
 
 
 class Best:
@@ -51,7 +53,14 @@ class Best:
         unseen = np.concatenate([high.sum(1, keepdims=True), high.sum(1, keepdims=True) + np.cumsum(low - high, 1)], 1)
         e = int(np.where((unseen < floor[:, None]).any(1), (unseen < floor[:, None]).argmax(1), len(order)).max())
         part = q[:, :e] @ T[order[:e]]
-        who, row = np.nonzero(part + high[:, e:].sum(1)[:, None] >= floor[:, None])
+        # While many rows stay competitive, all are scored on the next terms; then the few that remain are probed.
+        while True:
+            passed = part >= (floor - high[:, e:].sum(1))[:, None]
+            if e >= len(order) or np.count_nonzero(passed) <= part.size // SPARSE:
+                break
+            part += q[:, e : e + 16] @ T[order[e : e + 16]]
+            e = min(e + 16, len(order))
+        who, row = np.nonzero(passed)
         score = part[who, row]
         for s in range(e, len(order), 16):
             more = order[s : s + 16]

@@ -19,7 +19,7 @@ from .common import texts
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Bytes of encoded pieces that a worker keeps; when full, the memory starts anew. Results do not depend on it.
-MEMO_BYTES, ENTRY_BYTES = 64_000_000, 200
+MEMO_BYTES, ENTRY_BYTES = 200_000_000, 200
 #: Rows and tokens of one output batch, so that a worker holds few documents at a time.
 BATCH_ROWS, BATCH_TOKENS = 200, 500_000
 NONE = 1 << 62

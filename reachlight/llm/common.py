@@ -46,6 +46,9 @@ def ship(spark) -> None:
     # Texts are long: Arrow batches of the usual 10,000 rows would hold tens of megabytes in each task, twice.
     if int(spark.conf.get(BATCH)) > BATCH_ROWS:
         spark.conf.set(BATCH, str(BATCH_ROWS))
+    # So would 1,000 very long texts, or pairs of their lines. A caller's own bound stays.
+    if spark.conf.get(BYTES, None) is None:
+        spark.conf.set(BYTES, str(BATCH_BYTES))
     if _sent == sc.applicationId:
         return
     top = Path(__file__).resolve().parents[1]
@@ -59,3 +62,4 @@ def ship(spark) -> None:
 
 _sent = None
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20

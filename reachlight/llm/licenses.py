@@ -1,10 +1,8 @@
 """License scans: ordered signature rules behind a keyword gate, DataFrame functions only.
 
-A rule is a name in a frame; `rules` deals the few hand-written frames over the hand-written names.
-
 Words are runs of ASCII letters (A-Z lowered), digits and non-ASCII characters. Each rule's pattern runs only on texts
-that hold its keyword; a detection inside another of higher priority (or of equal priority and longer) is suppressed.
-Null or empty text: no words, no detections, score 0. Repeated rows repeat; extra columns are ignored.
+that hold its keyword as a word; a detection inside another of higher priority (or of equal priority and longer) is
+suppressed. Null or empty text: no words, no detections, score 0. Repeated rows repeat; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -12,41 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .common import texts
+from .license_rules import RULES
 
 #: Fixed values of the contract: phrase, label.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
-#: label, keyword, pattern of the name in normal form.
-NAMES = [
-    ("mit", "mit", "mit"), ("mit-expat", "expat", "expat"), ("x11", "x11", "x11"), ("isc", "isc", "isc"), ("0bsd", "0bsd", "(?:0bsd|zero clause bsd)"),
-    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"), ("bsd-3-clause", "bsd", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)"), ("bsd-4-clause", "bsd", "(?:bsd 4 clause|4 clause bsd|original bsd)"), ("bsd", "bsd", "bsd(?: style)?"),
-    ("apache-1.1", "apache", "apache(?: software)?(?: license)?(?: version)? (?:1 1|v1 1)"), ("apache-2.0", "apache", "apache(?: license)?(?: version)? (?:2 0|v2 0|2|v2)"), ("apache", "apache", "apache(?: software)?"),
-    ("gpl-1.0", "general", "(?:gnu )?general public license(?: version)? (?:1|v1)(?: 0)?"), ("gpl-2.0", "general", "(?:gnu )?general public license(?: version)? (?:2|v2)(?: 0)?"), ("gpl-3.0", "general", "(?:gnu )?general public license(?: version)? (?:3|v3)(?: 0)?"), ("gpl-2.0", "gpl", "(?:gnu )?gpl ?(?:version )?(?:v)?2(?: 0)?"), ("gpl-3.0", "gpl", "(?:gnu )?gpl ?(?:version )?(?:v)?3(?: 0)?"), ("gpl", "gpl", "(?:gnu )?gpl"), ("gpl", "general", "(?:gnu )?general public"),
-    ("lgpl-2.1", "lesser", "(?:gnu )?lesser general public license(?: version)? (?:2 1|v2 1)"), ("lgpl-3.0", "lesser", "(?:gnu )?lesser general public license(?: version)? (?:3|v3)(?: 0)?"), ("lgpl", "lesser", "(?:gnu )?lesser general public"), ("lgpl", "lgpl", "lgpl(?: ?v?[23](?: [01])?)?"), ("agpl-3.0", "affero", "(?:gnu )?affero general public(?: license version 3)?"), ("agpl-3.0", "agpl", "agpl(?: ?v?3(?: 0)?)?"), ("gfdl", "documentation", "(?:gnu )?free documentation"),
-    ("mpl-1.1", "mozilla", "mozilla public license(?: version)? 1 1"), ("mpl-2.0", "mozilla", "mozilla public(?: license(?: version)? 2 0)?"), ("epl-1.0", "eclipse", "eclipse public license(?: version)? 1 0"), ("epl-2.0", "eclipse", "eclipse public(?: license(?: version)? 2 0)?"), ("cddl", "distribution", "common development and distribution"), ("cpl-1.0", "common", "common public"), ("eupl", "european", "european union public"), ("artistic", "artistic", "(?:clarified )?artistic(?: license 2 0)?"), ("zlib", "zlib", "zlib(?: libpng)?"), ("boost", "boost", "boost software"), ("unlicense", "unlicense", "unlicense"), ("wtfpl", "wtfpl", "wtfpl"), ("python", "python", "python software foundation"), ("ofl", "font", "(?:sil )?open font"), ("odbl", "database", "open database"), ("openssl", "openssl", "openssl"), ("postgresql", "postgresql", "postgresql"), ("ms-pl", "microsoft", "microsoft public"), ("bsl", "business", "business source"), ("sspl", "server", "server side public"),
-    ("cc0", "cc0", "(?:cc0|cc 0)(?: 1 0)?"), ("cc-by-nc-nd", "cc", "cc by nc nd(?: [1-4] 0)?"), ("cc-by-nc-sa", "cc", "cc by nc sa(?: [1-4] 0)?"), ("cc-by-nc", "cc", "cc by nc(?: [1-4] 0)?"), ("cc-by-nd", "cc", "cc by nd(?: [1-4] 0)?"), ("cc-by-sa", "cc", "cc by sa(?: [1-4] 0)?"), ("cc-by", "cc", "cc by(?: [1-4] 0)?"), ("cc-by", "creative", "creative commons attribution"), ("cc", "creative", "creative commons"),
-]
 #: Items between two appends to the whole result of a sweep.
 PART = 128
-#: priority, pattern around a name.
-FRAMES = [
-    (40, " (?:is |are )?(?:licensed|distributed|released|available|published|provided) under (?:the )?(?:terms of (?:the )?)?{n}(?: licen[sc]e)?(?: version [0-9]+(?: [0-9]+)?)?(?= )"),
-    (30, " (?:under|subject to|governed by|according to) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{n} licen[sc]e(?= )"),
-    (20, " {n} (?:public )?licen[sc]e(?: version [0-9]+(?: [0-9]+)?| v[0-9]+)?(?= )"),
-    (10, " (?:spdx license identifier|license|licence) {n}(?= )"),
-]
-OWN = [("all-rights-reserved", "reserved", 25, " all rights reserved(?= )"), ("public-domain", "domain", 25, " (?:released |placed |dedicated )?(?:in |into |to )?the public domain(?= )"), ("warranty-disclaimer", "warranty", 5, " without warranty of any kind(?= )"), ("permission-notice", "permission", 15, " permission is hereby granted free of charge(?= )"), ("redistribution-notice", "redistribution", 15, " redistribution and use in source and binary forms(?= )"), ("proprietary", "confidential", 15, " proprietary and confidential(?= )")]
-
-
-def rules() -> list[tuple[str, str, int, str]]:
-    """label, keyword, priority, pattern; more exact names stand first and win ties by length."""
-    return [(label, word, rank, frame.replace("{n}", name)) for rank, frame in FRAMES for label, word, name in NAMES] + OWN
 
 
 def quoted(s: str) -> str:
     return "r'" + s.replace("'", "\\'") + "'"
 
 
-RANKS = sorted({rank for rank, _ in FRAMES} | {rank for _, _, rank, _ in OWN})
+RANKS = sorted({rank for _, _, rank, _ in RULES})
 
 
 def swept(items: str, start: str, state: str, value: str, kind: str) -> str:
@@ -62,7 +38,6 @@ def scan(docs: DataFrame) -> DataFrame:
     low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     df = texts(docs).select("doc_id", F.concat(F.lit(" "), F.trim(F.regexp_replace(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" ")).alias("norm"))
     df = df.withColumn("n_words", F.when(F.length("norm") <= 2, F.lit(0)).otherwise(F.length("norm") - F.length(F.expr("replace(norm, ' ', '')")) - 1).cast("long"))
-    gate = F.expr("norm rlike '(?:license|licence|licensed|reserved|domain|warranty|permission|redistribution|confidential|under) '")
     words = F.split(F.trim("norm"), " ")
     hits = []
     for phrase, label in BASE:
@@ -70,13 +45,16 @@ def scan(docs: DataFrame) -> DataFrame:
         test = " and ".join(f"get(words, i + {k}) = '{w}'" for k, w in enumerate(p))
         hits.append(f"if(contains(norm, ' {phrase} '), transform(filter(sequence(0, size(words) - 1), i -> {test}), i -> named_struct('at', cast(i as bigint), 'label', '{label}')), array())")
     df = df.withColumn("words", F.when(F.contains("norm", F.lit(" license ")), words).otherwise(F.array(F.lit("")))).withColumn("base", F.expr(f"concat({', '.join(hits)})"))
-    table = "array(" + ", ".join(f"named_struct('label', {quoted(a)}, 'word', {quoted(b)}, 'rank', {c}, 'pattern', {quoted(d)})" for a, b, c, d in rules()) + ")"
+    by_word = {}
+    for label, word, rank, pattern in RULES:
+        by_word.setdefault(word, []).append(f"named_struct('label', {quoted(label)}, 'rank', {rank}, 'pattern', {quoted(f' (?:{pattern})(?= )')})")
+    table = "array(" + ", ".join(f"named_struct('word', ' {word} ', 'rules', array({', '.join(rules)}))" for word, rules in by_word.items()) + ")"
     # Start and end characters of every hit of a rule, from the pieces between hits.
-    pieces = "zip_with(slice(split(norm, r.pattern, -1), 1, size(regexp_extract_all(norm, r.pattern, 0))), regexp_extract_all(norm, r.pattern, 0), (a, b) -> struct(length(a) as gap, length(b) as long))"
+    pieces = "transform(array(regexp_extract_all(norm, r.pattern, 0)), m -> zip_with(slice(split(norm, r.pattern, -1), 1, size(m)), m, (a, b) -> struct(length(a) as gap, length(b) as long)))[0]"
     place = swept(pieces, "0", "z + x.gap + x.long", "struct(z + x.gap as s, z + x.gap + x.long as e)", "struct<s:int,e:int>")
-    spans = f"flatten(transform(filter({table}, r -> contains(norm, r.word)), r -> transform({place}, h -> named_struct('s', h.s, 'e', h.e, 'rank', r.rank, 'label', r.label))))"
-    none = "cast(array() as array<struct<s:int,e:int,rank:int,label:string>>)"
-    df = df.withColumn("gate", gate).withColumn("found", F.expr(f"if(gate, {spans}, {none})"))
+    gated = f"filter(flatten(transform(filter({table}, g -> contains(norm, g.word)), g -> g.rules)), r -> norm rlike r.pattern)"
+    spans = f"flatten(transform({gated}, r -> transform({place}, h -> named_struct('s', h.s, 'e', h.e, 'rank', r.rank, 'label', r.label))))"
+    df = df.withColumn("found", F.expr(spans))
     # One sweep over hits by start, longest and highest first. z[k]: the furthest end so far of rank RANKS[k], and where
     # the last span of that end began. A hit ends within an earlier one of higher rank, or a longer one of its own: suppressed.
     ordered = "transform(array_sort(transform(found, x -> struct(x.s as s, -x.e as e, -x.rank as rank, x.label as label))), x -> struct(x.s as s, -x.e as e, -x.rank as rank, x.label as label))"

@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from reachlight.llm import bpe, decontaminate, licenses, line_dedup, minhash, pii, sharding, topk, toxicity, url_filter
+from reachlight.llm import bpe, decontaminate, license_rules, licenses, line_dedup, minhash, pii, sharding, topk, toxicity, url_filter
 
 D = "/root/testdata/sf0.01"
 TEXT = "doc_id long, text string, lang string, n_chars long, root string, rep int, a int, b int"
@@ -138,6 +138,41 @@ def test_license_base(spark):
         assert not any(a != b and a[0] <= b[0] and b[1] <= a[1] and a[1] - a[0] < 20 for a in spans for b in spans if a[0] == b[0] and a[1] == b[1] and a is not b and a != b)
 
 
+def samples(seq, full):
+    """Texts of a parsed pattern, optional parts left out or taken."""
+    out = [""]
+    for op, x in seq:
+        if str(op) == "LITERAL":
+            more = [chr(x)]
+        elif str(op) == "IN":
+            more = [chr(x[0][1] if str(x[0][0]) == "LITERAL" else x[0][1][0])]
+        elif str(op) == "SUBPATTERN":
+            more = samples(x[3], full)
+        elif str(op) == "BRANCH":
+            more = [t for b in x[1] for t in samples(b, full)]
+        else:
+            more = samples(x[2], full) if x[0] or full else [""]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_license_rules(spark):
+    """A sample of every branch of every rule holds its keyword, and is found under its label or a rule of higher rank that covers it."""
+    from re import _parser
+
+    rows = []
+    for label, word, rank, pattern in license_rules.RULES:
+        for t in {x for full in (False, True) for x in samples(_parser.parse(pattern), full)}:
+            assert f" {word} " in f" {t} " and t == " ".join(t.split()) and re.fullmatch(pattern, t)
+            rows.append((len(rows), label, rank, t))
+    cover = {k: {lb for lb, _, r, p in license_rules.RULES if r >= rank and re.search(f" (?:{p})(?= )", f" {t} ")} for k, _, rank, t in rows}
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, [(k, f"Before, {t.upper()}; after.") for k, _, _, t in rows])).collect()}
+    for k, label, _, t in rows:
+        assert set(got[k].labels.split(",")) & cover[k] and label in cover[k], t
+    own = [(0, "permit a disc, commonly general terms of service under our server"), (1, "The MIT License (MIT)"), (2, "licensed under the Apache License, Version 2.0"), (3, "GNU Lesser General Public License v2.1")]
+    assert {r.doc_id: r.labels for r in licenses.scan(frame(spark, own)).collect()} == {0: "", 1: "mit", 2: "apache,apache-2.0", 3: "gpl,lgpl-2.1"}
+
+
 def test_toxicity_by_language(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("documents", "labels"))

@@ -38,21 +38,22 @@ def scan(docs: DataFrame) -> DataFrame:
     low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     df = texts(docs).select("doc_id", F.concat(F.lit(" "), F.trim(F.regexp_replace(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" ")).alias("norm"))
     df = df.withColumn("n_words", F.when(F.length("norm") <= 2, F.lit(0)).otherwise(F.length("norm") - F.length(F.expr("replace(norm, ' ', '')")) - 1).cast("long"))
-    words = F.split(F.trim("norm"), " ")
     hits = []
     for phrase, label in BASE:
         p = phrase.split(" ")
         test = " and ".join(f"get(words, i + {k}) = '{w}'" for k, w in enumerate(p))
         hits.append(f"if(contains(norm, ' {phrase} '), transform(filter(sequence(0, size(words) - 1), i -> {test}), i -> named_struct('at', cast(i as bigint), 'label', '{label}')), array())")
-    df = df.withColumn("words", F.when(F.contains("norm", F.lit(" license ")), words).otherwise(F.array(F.lit("")))).withColumn("base", F.expr(f"concat({', '.join(hits)})"))
+    df = df.withColumn("words", F.split(F.trim("norm"), " ")).withColumn("base", F.expr(f"concat({', '.join(hits)})"))
     by_word = {}
     for label, word, rank, pattern in RULES:
         by_word.setdefault(word, []).append(f"named_struct('label', {quoted(label)}, 'rank', {rank}, 'pattern', {quoted(f' (?:{pattern})(?= )')})")
-    table = "array(" + ", ".join(f"named_struct('word', ' {word} ', 'rules', array({', '.join(rules)}))" for word, rules in by_word.items()) + ")"
+    # One pass over a text's words finds its keywords; the map gives their rules.
+    keywords = "array(" + ", ".join(f"'{word}'" for word in by_word) + ")"
+    table = "map(" + ", ".join(f"'{word}', array({', '.join(rules)})" for word, rules in by_word.items()) + ")"
     # Start and end characters of every hit of a rule, from the pieces between hits.
     pieces = "transform(array(regexp_extract_all(norm, r.pattern, 0)), m -> zip_with(slice(split(norm, r.pattern, -1), 1, size(m)), m, (a, b) -> struct(length(a) as gap, length(b) as long)))[0]"
     place = swept(pieces, "0", "z + x.gap + x.long", "struct(z + x.gap as s, z + x.gap + x.long as e)", "struct<s:int,e:int>")
-    gated = f"filter(flatten(transform(filter({table}, g -> contains(norm, g.word)), g -> g.rules)), r -> norm rlike r.pattern)"
+    gated = f"filter(flatten(transform(array_intersect(words, {keywords}), w -> element_at({table}, w))), r -> norm rlike r.pattern)"
     spans = f"flatten(transform({gated}, r -> transform({place}, h -> named_struct('s', h.s, 'e', h.e, 'rank', r.rank, 'label', r.label))))"
     df = df.withColumn("found", F.expr(spans))
     # One sweep over hits by start, longest and highest first. z[k]: the furthest end so far of rank RANKS[k], and where
